@@ -7,10 +7,16 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import tessera
+
+#: Functions of this package travel to the executors by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(tessera)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A driver table, pruned to the columns named."""
