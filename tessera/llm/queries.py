@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, langid, quality_knn, toxicity
+from tessera.llm import bpe, decontaminate, langid, quality_knn, quality_rules, toxicity
 
 QUERIES = {
     "op2_quality_knn": quality_knn.query,
     "op3_decontaminate": decontaminate.query,
     "op4_toxicity_levenshtein": toxicity.query,
+    "op7_quality_rules": quality_rules.query,
     "op8_language_kernel": langid.query,
     "op10_byte_bpe": bpe.query,
 }
