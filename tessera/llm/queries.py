@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, langid, quality_knn, quality_rules, toxicity
+from tessera.llm import bpe, decontaminate, langid, quality_knn, quality_rules, surrogates, toxicity
 
 QUERIES = {
+    "op1_surrogates": surrogates.query,
     "op2_quality_knn": quality_knn.query,
     "op3_decontaminate": decontaminate.query,
     "op4_toxicity_levenshtein": toxicity.query,
