@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, langid, quality_knn, quality_rules, surrogates, toxicity
+from tessera.llm import bpe, decontaminate, langid, minhash, quality_knn, quality_rules, surrogates, toxicity
 
 QUERIES = {
     "op1_surrogates": surrogates.query,
     "op2_quality_knn": quality_knn.query,
     "op3_decontaminate": decontaminate.query,
     "op4_toxicity_levenshtein": toxicity.query,
+    "op6_minhash": minhash.query,
     "op7_quality_rules": quality_rules.query,
     "op8_language_kernel": langid.query,
     "op10_byte_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
+    "op6_minhash": minhash.ORACLE,
 }
