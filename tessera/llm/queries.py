@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, langid, minhash, quality_knn, quality_rules, surrogates, toxicity
+from tessera.llm import bpe, decontaminate, langid, minhash, quality_knn, quality_rules, substring, surrogates, toxicity
 
 QUERIES = {
     "op1_surrogates": surrogates.query,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_minhash": minhash.query,
     "op7_quality_rules": quality_rules.query,
     "op8_language_kernel": langid.query,
+    "op9_substring": substring.query,
     "op10_byte_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op6_minhash": minhash.ORACLE,
+    "op9_substring": substring.ORACLE,
 }
