@@ -9,13 +9,20 @@ similarity s meet in some table with probability (1 - (1 - s^rows)^bands)^2; wit
 Classes. Documents with one shingle set are one class from the start (by a 128-bit hash of the
 sorted set), so copies cost nothing further, however many there are.
 
-Candidates. Classes that share a value of the first collection form a bucket. In each of
-`stars` rounds, every class is compared with one leader of its buckets that is not yet in its
-component, a number of pairs that is linear in the classes; a leader is the least by a hash
-that changes with the round. What is linked is contracted. Buckets that still hold several
-components are then split into the tensored tables, and in tables that still hold several
-components all pairs across components are compared. So each pair that meets in a table ends
-in one component or is verified, but pairs inside a large group are never listed.
+Candidates. Classes that share a value of the first collection form a bucket. In each of two
+rounds, every class is compared with one leader of its buckets that is not yet in its
+component, a number of pairs that is linear in the classes; leaders are the classes with the
+fullest buckets in the first round, and the least by a hash in the second. What is linked is
+contracted.
+
+Tables. Buckets that still hold several components are split into the tensored tables. Each
+table that still holds several has a pivot p, and its classes are compared with it. Two classes x
+and y of one table can only be similar if |x & y| >= s/(1+s) (|x| + |y|), where |x & y| is at most
+min(|x & p|, |y & p|) plus what x - p and y - p share. So pairs across components are taken only
+where the differences from a common pivot share a shingle (found by a prefix-filtered join of
+the differences), or where min(|x & p|, |y & p|) suffices by itself. Both conditions follow from
+similarity, so no pair of a table is lost, while pairs inside a large group of mutated copies, of
+which most are as far from each other as twice from their source, are not listed.
 
 Verification counts the shingles that both whole texts have, on executors: pairs are dealt by
 leader and by blocks of bounded size, sorted so that the leader's text comes first, and
@@ -92,9 +99,11 @@ def sketch(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, node binary, a array<long>, b array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: int, block_shingles: int = 300_000) -> DataFrame:
-    """The pairs (x, y) whose sets are similar: 100 * |both| >= similarity * |either|.
+def compare(pairs: DataFrame, texts: DataFrame, similarity: int, deltas: bool = False, block_shingles: int = 50_000) -> DataFrame:
+    """x, y, both (shingles in common), m (of y), linked, and delta for the pairs (x, y).
 
+    linked: 100 * both >= similarity * |either|. delta, where asked for: of the shingles of y that
+    x has not, the first ones (by hash) that a similar set must share one of with y's.
     texts has node, n and text. Each leader x gets as many blocks as its partners' sizes call for.
     """
     sizes = pairs.join(texts.select(F.col("node").alias("y"), "n"), "y")
@@ -109,22 +118,26 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: int, block_shingles:
         hashes = WordHashes()
         leader, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            xs, ys = [], []
+            out: dict[str, list] = {"x": [], "y": [], "both": [], "m": [], "linked": [], "delta": []}
             for x, role, node, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 if role == 0:
                     leader, own = x, shingles(t.as_py(), hashes)
                 elif x == leader:
                     other = shingles(t.as_py(), hashes)
-                    if 100 * min(len(own), len(other)) < similarity * max(len(own), len(other)):
-                        continue
                     place = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                    both = int((own[place] == other).sum())
-                    if 100 * both >= similarity * (len(own) + len(other) - both):
-                        xs.append(x)
-                        ys.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
+                    same = own[place] == other
+                    both = int(same.sum())
+                    linked = 100 * both >= similarity * (len(own) + len(other) - both)
+                    if linked or deltas:
+                        rest = other[~same].astype(np.int64) if deltas else np.zeros(0, np.int64)
+                        # A similar set shares at least this many of them.
+                        least = max(1, -(-similarity * len(other) // 100) - both)
+                        for c, v in zip(out.values(), (x, node, both, len(other), linked, rest[: max(0, len(rest) - least + 1)])):
+                            c.append(v)
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    return rows.mapInArrow(run, "x binary, y binary")
+    return rows.mapInArrow(run, "x binary, y binary, both long, m long, linked boolean, delta array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -141,37 +154,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(classes: DataFrame, docs: DataFrame, text: str, similarity: int, stars: int) -> DataFrame:
+def link(classes: DataFrame, docs: DataFrame, text: str, similarity: int) -> DataFrame:
     """node and label for the classes that share a bucket. classes: node, rep, n, a, b."""
     each = classes.select("node", F.posexplode("a").alias("i", "value"))
-    shared = each.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "value")
+    shared = each.groupBy("i", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = stash(each.join(shared, ["i", "value"]))
-    inside = stash(rows.select("node").distinct().join(classes.select("node", "rep", "n"), "node"))
+    inside = stash(rows.groupBy("node").agg(F.sum("size").alias("weight")).join(classes.select("node", "rep", "n"), "node"))
     one = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text"))
-    fetched = inside.join(one, inside["rep"].eqNullSafe(one["rep"]), "inner").select("node", "n", "text")
-    texts = stash(of_node(fetched))
-    labels = stash(inside.select("node", F.col("node").alias("label")))
-    for r in range(stars):
-        now = rows.join(labels, "node").select("i", "value", "node", "label")
-        order = F.xxhash64(F.col("node"), F.lit(r))
-        leader = now.groupBy("i", "value").agg(F.min_by(F.struct("node", "label"), F.struct(order, "node")).alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    texts = stash(of_node(inside.join(one, inside["rep"].eqNullSafe(one["rep"])).select("node", "n", "text")))
+    rows = stash(rows.drop("size").join(inside.select("node", "weight"), "node"))
+    labels = inside.select("node", F.col("node").alias("label"))
+    for order in (-F.col("weight"), F.xxhash64("node")):
+        now = rows.join(labels, "node").select("i", "value", "node", "label", F.struct(order.alias("o"), "node").alias("rank"))
+        leader = now.groupBy("i", "value").agg(F.min_by(F.struct("rank", "label"), "rank").alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         led = now.join(leader, ["i", "value"]).where("label != leader.label")
-        pairs = stash(led.groupBy("node").agg(F.min_by("leader.node", F.struct(F.xxhash64(F.col("leader.node"), F.lit(r)), F.col("leader.node"))).alias("x")).select("x", F.col("node").alias("y")))
+        pairs = stash(led.groupBy("node").agg(F.min("leader.rank").alias("rank")).select(F.col("rank.node").alias("x"), F.col("node").alias("y")))
         if pairs.isEmpty():
             return labels
-        labels = contract(labels, verify(pairs, texts, similarity))
-    # What is still mixed goes to the tensored tables, and is compared across components there.
-    now = rows.join(labels, "node").select("i", "value", "node", "label")
+        labels = contract(labels, compare(pairs, texts, similarity).where("linked"))
+    # What is still mixed goes to the tensored tables, and is compared with their pivots there.
+    now = rows.join(labels, "node").select("i", "value", "node", "label", "weight")
     mixed = now.groupBy("i", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("i", "value")
-    tensored = now.join(mixed, ["i", "value"]).join(classes.select("node", "n", "b"), "node").select("node", "label", "n", "i", "value", F.posexplode("b").alias("j", "other"))
-    tensored = stash(tensored.select("node", "label", "n", F.xxhash64("i", "value", "j", "other").alias("key")))
-    open_keys = tensored.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    left = stash(tensored.join(open_keys, "key"))
-    right = left.select("key", F.col("node").alias("y"), F.col("label").alias("other"), F.col("n").alias("m"))
-    close = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
-    pairs = left.withColumnRenamed("node", "x").join(right, "key").where((F.col("label") < F.col("other")) & close).select("x", "y").distinct()
-    pairs = stash(pairs)
-    return labels if pairs.isEmpty() else contract(labels, verify(pairs, texts, similarity))
+    tensored = now.join(mixed, ["i", "value"]).join(classes.select("node", "b"), "node").select("node", "label", "weight", "i", "value", F.posexplode("b").alias("j", "other"))
+    tensored = stash(tensored.select("node", "label", "weight", F.xxhash64("i", "value", "j", "other").alias("key")))
+    pivots = tensored.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "pivot")
+    pairs = stash(tensored.join(pivots, "key").where("node != pivot").groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("tables")).select("x", "y"))
+    if pairs.isEmpty():
+        return labels
+    met = stash(compare(pairs, texts, similarity, deltas=True))
+    labels = contract(labels, met.where("linked"))
+    left = met.join(labels.select(F.col("node").alias("y"), "label"), "y").withColumnRenamed("x", "pivot")
+    right = left.select("pivot", F.col("y").alias("z"), F.col("label").alias("other"), F.col("m").alias("k"), F.col("both").alias("shared"), F.col("linked").alias("near"))
+    # s/(1+s) (|x| + |y|) <= bound on |x & y|, in integers.
+    reaches = lambda bound: (100 + similarity) * bound >= similarity * (F.col("m") + F.col("k"))
+    close = 100 * F.least("m", "k") >= similarity * F.greatest("m", "k")
+    plain = left.where(~F.col("linked") & (100 * F.col("both") >= similarity * F.col("m"))).select("pivot", "y", "label", "m", "both")
+    direct = plain.join(right, "pivot").where((F.col("label") != F.col("other")) & close & reaches(F.least("both", "shared"))).select(F.col("y").alias("x"), F.col("z").alias("y"))
+    spread = left.select("pivot", "y", "label", "m", "both", F.explode("delta").alias("shingle"))
+    several = spread.groupBy("pivot", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pivot", "shingle")
+    spread = stash(spread.join(several, ["pivot", "shingle"]))
+    twin = spread.select("pivot", "shingle", F.col("y").alias("z"), F.col("label").alias("other"), F.col("m").alias("k"), F.col("both").alias("shared"))
+    most = F.least("both", "shared") + F.least(F.col("m") - F.col("both"), F.col("k") - F.col("shared"))
+    through = spread.join(twin, ["pivot", "shingle"]).where((F.col("label") < F.col("other")) & close & reaches(most)).select(F.col("y").alias("x"), F.col("z").alias("y"))
+    ordered = through.union(direct).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = stash(ordered)
+    return labels if pairs.isEmpty() else contract(labels, compare(pairs, texts, similarity).where("linked"))
 
 
 def of_node(fetched: DataFrame) -> DataFrame:
@@ -191,18 +218,19 @@ def of_node(fetched: DataFrame) -> DataFrame:
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels after the components that links join have become one."""
+    labels = stash(labels)
     own = links.join(labels.select(F.col("node").alias("x"), F.col("label").alias("u")), "x").join(labels.select(F.col("node").alias("y"), F.col("label").alias("v")), "y")
     joined = components(stash(own.where("u != v").select(F.col("u").alias("x"), F.col("v").alias("y")).distinct()))
     new = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
     return stash(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", similarity: int = 75, stars: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", similarity: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the component) and kept, a row for each row of docs."""
     sketched = stash(sketch(docs, text))
     some = sketched.where("node is not null")
     classes = stash(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
-    labels = link(classes, docs, text, similarity, stars)
+    labels = link(classes, docs, text, similarity)
     labelled = classes.select("node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label != node or copies > 1").select("label").distinct()
     grouped = labelled.join(least, "label")
