@@ -1,0 +1 @@
+"""Streaming: every input of the programs rebuilt here is bounded, so there is no streaming operator."""
