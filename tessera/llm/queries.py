@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, langid, minhash, quality_knn, quality_rules, substring, surrogates, toxicity
+from tessera.llm import bpe, decontaminate, langid, minhash, quality_knn, quality_rules, substring, surrogates, toxicity, warc
 
 QUERIES = {
     "op1_surrogates": surrogates.query,
     "op2_quality_knn": quality_knn.query,
     "op3_decontaminate": decontaminate.query,
     "op4_toxicity_levenshtein": toxicity.query,
+    "op5_warc": warc.query,
     "op6_minhash": minhash.query,
     "op7_quality_rules": quality_rules.query,
     "op8_language_kernel": langid.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op6_minhash": minhash.ORACLE,
     "op9_substring": substring.ORACLE,
 }
