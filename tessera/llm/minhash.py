@@ -16,13 +16,13 @@ fullest buckets in the first round, and the least by a hash in the second. What
 contracted.
 
 Tables. Buckets that still hold several components are split into the tensored tables. Each
-table that still holds several has a pivot p, and its classes are compared with it. Two classes x
-and y of one table can only be similar if |x & y| >= s/(1+s) (|x| + |y|), where |x & y| is at most
-min(|x & p|, |y & p|) plus what x - p and y - p share. So pairs across components are taken only
-where the differences from a common pivot share a shingle (found by a prefix-filtered join of
-the differences), or where min(|x & p|, |y & p|) suffices by itself. Both conditions follow from
-similarity, so no pair of a table is lost, while pairs inside a large group of mutated copies, of
-which most are as far from each other as twice from their source, are not listed.
+table that still holds several has a pivot p, and its classes are compared with it, which gives
+x - p and p - x for each class x. From these lists the intersection of any two classes x and y of
+the pivot is known exactly: |p| - |(p - x) or (p - y)| + |(x - p) and (y - p)|. So classes of other
+components than the pivot's are put in blocks of bounded size with an index of their lists, all
+classes of the pivot stream by, and what each shares with the block is counted by look-ups. A link
+is emitted only if it joins components that no earlier link of the task has joined, so pairs
+inside a large group are never listed. No pair of a table is lost.
 
 Verification counts the shingles that both whole texts have, on executors: pairs are dealt by
 leader and by blocks of bounded size, sorted so that the leader's text comes first, and
@@ -73,7 +73,7 @@ def band_values(sets: np.ndarray, factors: np.ndarray, bands: int, rows: int) ->
 
 
 def sketch(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; null if empty), and the two collections a and b."""
+    """doc_id, n_shingles, set (hash of the shingles; null if there are none), and the two collections a and b."""
     rng = np.random.default_rng(20)
     factors = rng.integers(0, 1 << 63, 2 * bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -94,17 +94,18 @@ def sketch(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
                 a.append(both[:bands])
                 b.append(both[bands:])
             long_list = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(a, long_list), pa.array(b, long_list)], names=["doc_id", "n_shingles", "node", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(a, long_list), pa.array(b, long_list)], names=["doc_id", "n_shingles", "set", "a", "b"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, node binary, a array<long>, b array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, set binary, a array<long>, b array<long>")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, similarity: int, deltas: bool = False, block_shingles: int = 50_000) -> DataFrame:
-    """x, y, both (shingles in common), m (of y), linked, and delta for the pairs (x, y).
+def compare(pairs: DataFrame, texts: DataFrame, similarity: int, lists: bool = False, block_shingles: int = 50_000) -> DataFrame:
+    """x, y, k and m (their sizes), linked, and the lists of differences, for the pairs (x, y).
 
-    linked: 100 * both >= similarity * |either|. delta, where asked for: of the shingles of y that
-    x has not, the first ones (by hash) that a similar set must share one of with y's.
-    texts has node, n and text. Each leader x gets as many blocks as its partners' sizes call for.
+    linked: 100 * |both| >= similarity * |either|; without lists only linked pairs are returned.
+    lists: extra are the shingles of y that x has not, missing the places in x's sorted set of
+    those that y has not. texts has node, n and text. Each leader x gets as many blocks as its
+    partners' sizes call for.
     """
     sizes = pairs.join(texts.select(F.col("node").alias("y"), "n"), "y")
     blocks = sizes.groupBy("x").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
@@ -118,7 +119,7 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity: int, deltas: bool =
         hashes = WordHashes()
         leader, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            out: dict[str, list] = {"x": [], "y": [], "both": [], "m": [], "linked": [], "delta": []}
+            out: dict[str, list] = {"x": [], "y": [], "k": [], "m": [], "linked": [], "extra": [], "missing": []}
             for x, role, node, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 if role == 0:
                     leader, own = x, shingles(t.as_py(), hashes)
@@ -128,16 +129,85 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity: int, deltas: bool =
                     same = own[place] == other
                     both = int(same.sum())
                     linked = 100 * both >= similarity * (len(own) + len(other) - both)
-                    if linked or deltas:
-                        rest = other[~same].astype(np.int64) if deltas else np.zeros(0, np.int64)
-                        # A similar set shares at least this many of them.
-                        least = max(1, -(-similarity * len(other) // 100) - both)
-                        for c, v in zip(out.values(), (x, node, both, len(other), linked, rest[: max(0, len(rest) - least + 1)])):
+                    if linked or lists:
+                        gone = np.ones(len(own), bool)
+                        gone[place[same]] = False
+                        extra, missing = (other[~same].astype(np.int64), np.flatnonzero(gone).astype(np.int32)) if lists else ([], [])
+                        for c, v in zip(out.values(), (x, node, len(own), len(other), linked, extra, missing)):
                             c.append(v)
-            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    return rows.mapInArrow(run, "x binary, y binary, both long, m long, linked boolean, delta array<long>")
+    return rows.mapInArrow(run, "x long, y long, k long, m long, linked boolean, extra array<long>, missing array<int>")
+
+
+class Index:
+    """Lists of several owners, to count how many entries a list shares with each."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner, self.n = flat[order], owner[order], len(lists)
+
+    def shared(self, entries: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.flat, entries, "left"), np.searchsorted(self.flat, entries, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
+def pivot_links(met: DataFrame, labels: DataFrame, similarity: int, block: int = 200_000, stretch: int = 1_000_000) -> DataFrame:
+    """x and y of links that join all components that similar classes of one pivot are in.
+
+    met has the pivot x, the class y, k, m, extra and missing. Classes outside the pivot's component
+    form blocks of about `block` list entries; every class of the pivot meets each of them, dealt in
+    stretches of about `stretch` entries.
+    """
+    named = met.join(labels.select(F.col("node").alias("y"), "label"), "y").join(labels.select(F.col("node").alias("x"), F.col("label").alias("own")), "x")
+    size = F.size("extra") + F.size("missing") + 1
+    outside = F.when(F.col("label") != F.col("own"), size)
+    shape = named.groupBy("x").agg(F.ceil(F.coalesce(F.sum(outside), F.lit(0)) / block).alias("blocks"), F.ceil(F.sum(size) / stretch).alias("stretches")).where("blocks > 0")
+    dealt = named.join(shape, "x")
+    columns = ["x", "block", "stretch", "role", "y", "label", "k", "m", "extra", "missing"]
+    last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    inner = dealt.where("label != own").withColumn("block", F.pmod(F.xxhash64("y"), F.col("blocks"))).withColumn("stretch", F.explode(last("stretches"))).withColumn("role", F.lit(0))
+    passing = dealt.withColumn("stretch", F.pmod(F.xxhash64("y", F.lit(1)), F.col("stretches"))).withColumn("block", F.explode(last("blocks"))).withColumn("role", F.lit(1))
+    rows = inner.select(*columns).unionByName(passing.select(*columns)).repartition("x", "block", "stretch").sortWithinPartitions("x", "block", "stretch", "role")
+
+    def run(batches):
+        group, held, ready = None, [], None
+        joined: dict[int, int] = {}
+
+        def root(label: int) -> int:
+            while joined.get(label, label) != label:
+                label = joined[label]
+            return label
+
+        for batch in batches:
+            xs, ys = [], []
+            extras, missings = batch.column(8), batch.column(9)
+            cells = [batch.column(i).to_pylist() for i in range(8)]
+            for i, (x, b, stretch, role, y, label, k, m) in enumerate(zip(*cells)):
+                if (x, b, stretch) != group:
+                    group, held, ready = (x, b, stretch), [], None
+                extra, missing = extras[i].values.to_numpy(), missings[i].values.to_numpy()
+                if role == 0:
+                    held.append((y, label, m, extra, missing))
+                    continue
+                if ready is None:
+                    ready = Index([h[3] for h in held]), Index([h[4] for h in held]), np.array([h[2] for h in held]), np.array([len(h[4]) for h in held])
+                plus, minus, sizes, gone = ready
+                both = k - (gone + len(missing) - minus.shared(missing)) + plus.shared(extra)
+                for j in np.flatnonzero(100 * both >= similarity * (sizes + m - both)).tolist():
+                    p, q = root(held[j][1]), root(label)
+                    if p != q:
+                        joined[max(p, q)] = min(p, q)
+                        xs.append(held[j][0])
+                        ys.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+
+    return rows.mapInArrow(run, "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,50 +225,35 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link(classes: DataFrame, docs: DataFrame, text: str, similarity: int) -> DataFrame:
-    """node and label for the classes that share a bucket. classes: node, rep, n, a, b."""
-    each = classes.select("node", F.posexplode("a").alias("i", "value"))
-    shared = each.groupBy("i", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = stash(each.join(shared, ["i", "value"]))
-    inside = stash(rows.groupBy("node").agg(F.sum("size").alias("weight")).join(classes.select("node", "rep", "n"), "node"))
+    """node and label for the classes that share a bucket. classes: set, node, rep, n, a, b."""
+    each = classes.select("node", F.posexplode("a").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("value"))
+    shared = each.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = stash(each.join(shared, "value"))
+    inside = stash(rows.groupBy("node").agg(F.sum("size").alias("weight")).join(classes.select("node", "set", "rep", "n"), "node"))
     one = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = stash(of_node(inside.join(one, inside["rep"].eqNullSafe(one["rep"])).select("node", "n", "text")))
+    texts = stash(of_node(inside.join(one, inside["rep"].eqNullSafe(one["rep"])).select("node", "set", "n", "text")))
     rows = stash(rows.drop("size").join(inside.select("node", "weight"), "node"))
     labels = inside.select("node", F.col("node").alias("label"))
     for order in (-F.col("weight"), F.xxhash64("node")):
-        now = rows.join(labels, "node").select("i", "value", "node", "label", F.struct(order.alias("o"), "node").alias("rank"))
-        leader = now.groupBy("i", "value").agg(F.min_by(F.struct("rank", "label"), "rank").alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        led = now.join(leader, ["i", "value"]).where("label != leader.label")
+        now = rows.join(labels, "node").select("value", "node", "label", F.struct(order.alias("o"), "node").alias("rank"))
+        leader = now.groupBy("value").agg(F.min_by(F.struct("rank", "label"), "rank").alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        led = now.join(leader, "value").where("label != leader.label")
         pairs = stash(led.groupBy("node").agg(F.min("leader.rank").alias("rank")).select(F.col("rank.node").alias("x"), F.col("node").alias("y")))
         if pairs.isEmpty():
             return labels
-        labels = contract(labels, compare(pairs, texts, similarity).where("linked"))
+        labels = contract(labels, compare(pairs, texts, similarity).select("x", "y"))
     # What is still mixed goes to the tensored tables, and is compared with their pivots there.
-    now = rows.join(labels, "node").select("i", "value", "node", "label", "weight")
-    mixed = now.groupBy("i", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("i", "value")
-    tensored = now.join(mixed, ["i", "value"]).join(classes.select("node", "b"), "node").select("node", "label", "weight", "i", "value", F.posexplode("b").alias("j", "other"))
-    tensored = stash(tensored.select("node", "label", "weight", F.xxhash64("i", "value", "j", "other").alias("key")))
+    now = rows.join(labels, "node").select("value", "node", "label", "weight")
+    mixed = now.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
+    tensored = now.join(mixed, "value").join(classes.select("node", "b"), "node").select("node", "label", "weight", "value", F.posexplode("b").alias("j", "other"))
+    tensored = stash(tensored.select("node", "label", "weight", F.xxhash64("value", "j", "other").alias("key")))
     pivots = tensored.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "pivot")
     pairs = stash(tensored.join(pivots, "key").where("node != pivot").groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("tables")).select("x", "y"))
     if pairs.isEmpty():
         return labels
-    met = stash(compare(pairs, texts, similarity, deltas=True))
-    labels = contract(labels, met.where("linked"))
-    left = met.join(labels.select(F.col("node").alias("y"), "label"), "y").withColumnRenamed("x", "pivot")
-    right = left.select("pivot", F.col("y").alias("z"), F.col("label").alias("other"), F.col("m").alias("k"), F.col("both").alias("shared"), F.col("linked").alias("near"))
-    # s/(1+s) (|x| + |y|) <= bound on |x & y|, in integers.
-    reaches = lambda bound: (100 + similarity) * bound >= similarity * (F.col("m") + F.col("k"))
-    close = 100 * F.least("m", "k") >= similarity * F.greatest("m", "k")
-    plain = left.where(~F.col("linked") & (100 * F.col("both") >= similarity * F.col("m"))).select("pivot", "y", "label", "m", "both")
-    direct = plain.join(right, "pivot").where((F.col("label") != F.col("other")) & close & reaches(F.least("both", "shared"))).select(F.col("y").alias("x"), F.col("z").alias("y"))
-    spread = left.select("pivot", "y", "label", "m", "both", F.explode("delta").alias("shingle"))
-    several = spread.groupBy("pivot", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pivot", "shingle")
-    spread = stash(spread.join(several, ["pivot", "shingle"]))
-    twin = spread.select("pivot", "shingle", F.col("y").alias("z"), F.col("label").alias("other"), F.col("m").alias("k"), F.col("both").alias("shared"))
-    most = F.least("both", "shared") + F.least(F.col("m") - F.col("both"), F.col("k") - F.col("shared"))
-    through = spread.join(twin, ["pivot", "shingle"]).where((F.col("label") < F.col("other")) & close & reaches(most)).select(F.col("y").alias("x"), F.col("z").alias("y"))
-    ordered = through.union(direct).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pairs = stash(ordered)
-    return labels if pairs.isEmpty() else contract(labels, compare(pairs, texts, similarity).where("linked"))
+    met = stash(compare(pairs, texts, similarity, lists=True))
+    labels = contract(labels, met.where("linked").select("x", "y"))
+    return contract(labels, stash(pivot_links(met, labels, similarity)))
 
 
 def of_node(fetched: DataFrame) -> DataFrame:
@@ -209,10 +264,10 @@ def of_node(fetched: DataFrame) -> DataFrame:
 
         hashes = WordHashes()
         for batch in batches:
-            keep = [i for i, (node, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))) if xxhash.xxh3_128_digest(shingles(t.as_py(), hashes).tobytes()) == node]
-            yield batch.take(pa.array(keep, pa.int64()))
+            keep = [i for i, (own, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3))) if xxhash.xxh3_128_digest(shingles(t.as_py(), hashes).tobytes()) == own]
+            yield batch.select([0, 2, 3]).take(pa.array(keep, pa.int64()))
 
-    own = fetched.mapInArrow(run, "node binary, n long, text string")
+    own = fetched.mapInArrow(run, "node long, n long, text string")
     return own.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))
 
 
@@ -225,18 +280,26 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stash(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
+def numbered(grouped: DataFrame) -> DataFrame:
+    """grouped with node, a 64-bit number of each set: a hash of the set's hash, with the first seed that gives no number twice."""
+    for seed in range(100):
+        classes = grouped.withColumn("node", F.xxhash64("set", F.lit(seed)))
+        if classes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+            return classes
+    raise ValueError("no seed gives each set a number of its own")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the component) and kept, a row for each row of docs."""
     sketched = stash(sketch(docs, text))
-    some = sketched.where("node is not null")
-    classes = stash(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    grouped = sketched.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = numbered(stash(grouped))
     labels = link(classes, docs, text, similarity)
-    labelled = classes.select("node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = classes.select("set", "node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label != node or copies > 1").select("label").distinct()
-    grouped = labelled.join(least, "label")
-    ids = stash(grouped.select("label", "node", "rep"))
-    known = ids.join(ids.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "node").join(known, "node", "left")
+    ids = stash(labelled.join(least, "label").select("label", "set", "rep"))
+    known = ids.join(ids.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("set", "component_id")
+    out = sketched.select("doc_id", "n_shingles", "set").join(known, "set", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
