@@ -157,9 +157,11 @@ def redrawn(docs: DataFrame, key: str, text: str = "text") -> DataFrame | None:
     held = docs.where(F.col(text).rlike(MAYBE)).select(F.explode(matches(F.col(text))).alias("m")).select(F.explode(atoms(F.col("m"))).alias("a")).where("a.kind is not null")
     drawn = stash(held.select("a.kind", "a.value").groupBy("kind", F.lower("value").alias("folded")).agg(F.min("value").alias("value")))
     originals = drawn.select("folded").distinct()
+    # The values are few bytes and much work, so they are dealt out by number, not by size.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = drawn.withColumn("attempt", F.lit(0))
     while True:
-        drawn = stash(drawn.select("kind", "folded", "value", "attempt").withColumn("surrogate", F.lower(draw(F.col("kind"), F.col("value"), F.col("attempt"), key))))
+        drawn = stash(drawn.select("kind", "folded", "value", "attempt").repartition(parts, "kind", "folded").withColumn("surrogate", F.lower(draw(F.col("kind"), F.col("value"), F.col("attempt"), key))))
         first = drawn.groupBy("kind", "surrogate").agg(F.min_by("folded", F.struct("attempt", "folded")).alias("keeps"), F.count(F.lit(1)).alias("n"))
         shared = drawn.join(first.where("n > 1").select("kind", "surrogate", "keeps"), ["kind", "surrogate"]).where("folded != keeps").select("kind", "folded")
         taken = drawn.join(originals.withColumnRenamed("folded", "surrogate"), "surrogate", "left_semi").select("kind", "folded")
