@@ -122,7 +122,7 @@ class SuffixAutomaton:
 
 
 def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, the hash of the words (node), n_words, and the winnowed anchors (hash, position), of each row."""
+    """doc_id, the hash of the words (node), n_words, and the winnowed anchors (hash, first and last position), of each row."""
     reach = window - anchor + 1
 
     def run(batches):
@@ -130,23 +130,27 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
         hashes = WordHashes()
         for batch in batches:
-            n, node, keys, places = [], [], [], []
+            n, node, keys, places, lasts = [], [], [], [], []
             for t in batch.column(1):
                 words = words_of(t.as_py())
                 n.append(len(words))
                 node.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 if len(words) < window:
-                    keys.append([]), places.append([])
+                    keys.append([]), places.append([]), lasts.append([])
                     continue
                 h = run_hashes(hashed(words, hashes), anchor)
                 at = winnow(h, reach)
-                keys.append(h[at].astype(np.int64))
-                places.append(at.astype(np.int32))
+                # Equal anchors in a row (one word again and again) are one, with its first and last place.
+                first = np.concatenate(([True], h[at[1:]] != h[at[:-1]]))
+                keys.append(h[at[first]].astype(np.int64))
+                places.append(at[first].astype(np.int32))
+                lasts.append(at[np.append(first[1:], True)].astype(np.int32))
+            ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "n_words", "node", "keys", "places"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, ints), pa.array(lasts, ints)], names=["doc_id", "n_words", "node", "keys", "places", "lasts"]
             )
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, node binary, keys array<long>, places array<int>")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, node binary, keys array<long>, places array<int>, lasts array<int>")
 
 
 SPAN = "array<struct<first:int,last:int>>"
@@ -177,8 +181,8 @@ def stream(rows: DataFrame, window: int, anchor: int, shard_words: int) -> DataF
                 width = len(h) - window + 1
                 asked = np.zeros(width + 1, np.int64)
                 own = np.array(at.as_py(), np.int64)
-                np.add.at(asked, np.clip(own + anchor - window, 0, width), 1)
-                np.add.at(asked, np.clip(own + 1, 0, width), -1)
+                np.add.at(asked, np.clip(own[:, 0] + anchor - window, 0, width), 1)
+                np.add.at(asked, np.clip(own[:, 1] + 1, 0, width), -1)
                 asked = np.cumsum(asked[:-1]) > 0
                 found = np.zeros(width, bool)
                 if doc_id > r:
@@ -211,8 +215,8 @@ def repeated(docs: DataFrame, text: str, window: int, anchor: int, block_words:
     """Every row's (doc_id, node, n_words), and the repeated window starts (spans) of the representatives that have some."""
     sketched = stash(anchors(docs.select("doc_id", F.col(text).alias("text")), window, anchor))
     long = sketched.where(F.col("n_words") >= window)
-    reps = stash(long.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("places").alias("places")).withColumn("own", F.xxhash64("node")))
-    each = reps.select("doc_id", "own", F.explode(F.arrays_zip("keys", "places")).alias("k")).select("doc_id", "own", F.col("k.keys").alias("key"), F.col("k.places").alias("place"))
+    reps = stash(long.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("places").alias("places"), F.first("lasts").alias("lasts")).withColumn("own", F.xxhash64("node")))
+    each = reps.select("doc_id", "own", F.explode(F.arrays_zip("keys", "places", "lasts")).alias("k")).select("doc_id", "own", F.col("k.keys").alias("key"), F.array("k.places", "k.lasts").alias("place"))
     shared = each.groupBy("key").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("high"), F.min("own").alias("p"), F.max("own").alias("q")).where("ref < high or p < q").select("key", "ref")
     # One reference text a doc_id; other texts of that id stand with its partners.
     names = reps.select("doc_id", "own", "node", "n_words")
@@ -223,7 +227,7 @@ def repeated(docs: DataFrame, text: str, window: int, anchor: int, block_words:
     leads = stash(leads.join(names.select(F.col("doc_id").alias("ref"), F.col("own").alias("lead"), "node"), ["ref", "lead"]))
     fetched = of_node(docs, referred.select("doc_id", "node").union(leads.select("ref", "node")).distinct(), text)
     partners = referred.join(leads.select("ref", "blocks"), "ref").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("ref", "block", F.lit(1).alias("role"), "doc_id", "node", "places")
-    first = leads.select("ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("ref").alias("doc_id"), "node", F.lit(None).cast("array<int>").alias("places"))
+    first = leads.select("ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("ref").alias("doc_id"), "node", F.lit(None).cast("array<array<int>>").alias("places"))
     rows = first.unionByName(partners).join(fetched, "node").select("ref", "block", "role", "doc_id", "node", "places", "text")
     streamed = stash(stream(rows.repartition("ref", "block").sortWithinPartitions("ref", "block", "role"), window, anchor, shard_words))
     rest = streamed.select("doc_id", "node", F.explode(F.arrays_zip("starts", "one", "two")).alias("k")).select("doc_id", "node", "k.starts", "k.one", "k.two")
