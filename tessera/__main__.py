@@ -6,8 +6,8 @@ gpa IN OUT                                          grade reports of a three-tab
 rangejoin CUSTOMERS ORDERS SPLITS OUT               join placed by the split points of a file
 diamonds IN OUT                                     number of diamonds of an edge list
 diamondsp IN OUT P                                  the same by partition replication, P parts
-allrep IN OUT ROWS COLS WIDTH HEIGHT                rectangle chains by full replication
-crep IN OUT ROWS COLS WIDTH HEIGHT                  rectangle chains by controlled replication, early and late apart
+replicate IN OUT ROWS COLS WIDTH HEIGHT             rectangle chains by full replication
+controlled IN OUT ROWS COLS WIDTH HEIGHT            rectangle chains by controlled replication, early and late apart
 
 OUT must not exist.
 """
@@ -55,19 +55,19 @@ def _rectangles(spark: SparkSession, source: str, grid: tuple[str, ...]):
     return spatial_join.relations_of(readers.parse_rectangles(readers.read_lines(spark, source))), Grid(int(rows), int(cols), float(width), float(height))
 
 
-def allrep(spark: SparkSession, source: str, out: str, *grid: str) -> None:
+def replicate(spark: SparkSession, source: str, out: str, *grid: str) -> None:
     parts, g = _rectangles(spark, source, grid)
     writers.write_records(spatial_join.chain_record(spatial_join.all_replicate(*parts, g)), out)
 
 
-def crep(spark: SparkSession, source: str, out: str, *grid: str) -> None:
+def controlled(spark: SparkSession, source: str, out: str, *grid: str) -> None:
     parts, g = _rectangles(spark, source, grid)
     early, late = spatial_join.early_output(*parts, g), spatial_join.late_output(*parts, g)
     writers.write_named({"early": spatial_join.chain_record(early), "late": spatial_join.chain_record(late)}, out)
 
 
 #: The programs and how many arguments they take.
-PROGRAMS = {"wordcount": (wordcount, 2, 2), "gradejoin": (gradejoin, 5, 5), "gpa": (gpa, 2, 2), "rangejoin": (rangejoin, 4, 4), "diamonds": (diamonds, 2, 2), "diamondsp": (diamondsp, 2, 3), "allrep": (allrep, 6, 6), "crep": (crep, 6, 6)}
+PROGRAMS = {"wordcount": (wordcount, 2, 2), "gradejoin": (gradejoin, 5, 5), "gpa": (gpa, 2, 2), "rangejoin": (rangejoin, 4, 4), "diamonds": (diamonds, 2, 2), "diamondsp": (diamondsp, 2, 3), "replicate": (replicate, 6, 6), "controlled": (controlled, 6, 6)}
 
 
 def main(arguments: list[str]) -> int:

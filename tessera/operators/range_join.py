@@ -17,11 +17,12 @@ def range_bucket(key: Column, splits: list[int]) -> Column:
     """
     points = sorted(splits)
     number = tx.to_long(key.cast("string"), strict=False)
-    out = F.lit(0)
-    if len(points) > 64:  # a binary search over a literal array would be re-read for every row
-        raise ValueError("more than 64 split points: use range_partition with a larger bucket table")
-    for p in points:
-        out = out + (number >= p).cast("int")
+    if len(points) <= 64:
+        out = F.lit(0)
+        for p in points:
+            out = out + (number >= p).cast("int")
+    else:
+        out = F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p <= number))
     return F.when(number.isNotNull(), out).otherwise(F.pmod(F.hash(key), F.lit(len(points) + 1))).cast("int")
 
 

@@ -13,15 +13,15 @@ def test_programs(spark, tmp_path):
     def run(program, *arguments):
         out = f"file://{tmp_path}/{program}-out"
         assert main([program, *[out if a == "OUT" else f"{out}-temp" if a == "TEMP" else a for a in arguments]]) == 0
-        return sorted(r["value"] for r in read_lines(spark, out, *([f"{out}/*"] if program == "crep" else [])).collect())
+        return sorted(r["value"] for r in read_lines(spark, out, *([f"{out}/*"] if program == "controlled" else [])).collect())
 
     edges, rects, grid = file("edges", EDGES), file("rects", RECTANGLES), ("2", "2", "100", "100")
     assert run("wordcount", file("text", "hello world\nhello\n"), "OUT") == ["hello\t2", "world\t1"]
     assert run("diamonds", edges, "OUT") == ["Total Diamonds Found:\t2"]
     assert run("diamondsp", edges, "OUT", "5") == ["Total Diamonds Found (Weighted Sum):\t2"]
-    assert run("allrep", rects, "OUT", *grid) == ["<p1 | q1 | r1 | s1>"]
-    main(["crep", rects, f"file://{tmp_path}/crep", *grid])
-    assert [r["value"] for r in read_lines(spark, f"file://{tmp_path}/crep/*").collect()] == ["<p1 | q1 | r1 | s1>"]
+    assert run("replicate", rects, "OUT", *grid) == ["<p1 | q1 | r1 | s1>"]
+    main(["controlled", rects, f"file://{tmp_path}/controlled", *grid])
+    assert [r["value"] for r in read_lines(spark, f"file://{tmp_path}/controlled/*").collect()] == ["<p1 | q1 | r1 | s1>"]
     customers, orders = file("c", "101,Ann,Oslo\n301,Cy,Nice\n255,Bo,Rome\n"), file("o", "901,101,pen\n904,301,hat\n905,7,mug\n")
     assert run("rangejoin", customers, orders, file("p", "200\n300\n"), "OUT") == ["101\tAnn,Oslo,901,pen", "301\tCy,Nice,904,hat"]
     joined = run("gradejoin", file("r", "1,x,x,s,m\n"), file("g", "x,x,x,x,1,A\n"), file("s", "x,x,x,2020,1,x,x,x,m,x,x,4\n"), "TEMP", "OUT")

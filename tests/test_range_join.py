@@ -24,3 +24,9 @@ def test_key_equal_to_a_point_goes_right(spark):
     df = spark.createDataFrame([(k,) for k in (199, 200, 299, 300, -5)], "k long").withColumn("b", rj.range_bucket(F.col("k"), [200, 300]))
     assert {r["k"]: r["b"] for r in df.collect()} == {199: 0, 200: 1, 299: 1, 300: 2, -5: 0}
     assert [rj.bucket_of(k, [300, 200]) for k in (199, 200, 300)] == [0, 1, 2]
+
+
+def test_many_points(spark):
+    points = list(range(0, 1000, 10))
+    df = spark.range(-5, 1010).withColumn("b", rj.range_bucket(F.col("id"), points))
+    assert all(r["b"] == rj.bucket_of(r["id"], points) for r in df.collect())
