@@ -31,4 +31,5 @@ def test_programs(spark, tmp_path):
 
 def test_usage(capsys):
     assert main([]) == 2 and main(["wordcount", "x"]) == 2 and main(["nothing", "x", "y"]) == 2
-    assert all(p in capsys.readouterr().err for p in PROGRAMS)
+    usage = capsys.readouterr().err
+    assert all(p in usage for p in PROGRAMS)
