@@ -151,4 +151,45 @@ def nearest(distances: list[Column]) -> Column:
 def query(spark, sf_dir):
     """op7: base figures and verdicts of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return judge(docs, references(docs))
+    return judge(docs, references(docs)).drop("char_distance", "word_distance")
+
+
+#: The same by plain SQL, with the defaults of judge() and references().
+ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (
+  SELECT *, length(t) AS n, [length(regexp_replace(t, '[^a-z]', '', 'g')), length(regexp_replace(t, '[^A-Z]', '', 'g')), length(regexp_replace(t, '[^0-9]', '', 'g')),
+    length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), length(regexp_replace(t, '[^.,;:!?''"()-]', '', 'g'))] AS six FROM w),
+d AS (SELECT *, list_append(six, n - list_sum(six)) AS classes FROM c),
+langs AS (SELECT lang, count(*) AS n FROM d GROUP BY lang HAVING sum(n) > 0 ORDER BY count(*) DESC, lang LIMIT 32),
+ref_chars AS (SELECT lang, i, sum(classes[i])::DOUBLE / sum(n)::DOUBLE AS q FROM d, range(1, 8) r(i) WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, i),
+js_chars AS (
+  SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / (2 * ln(2)), 0)) AS js
+  FROM (SELECT d.doc_id, r.lang, d.classes[r.i] / d.n::DOUBLE AS p, r.q FROM d, ref_chars r WHERE d.n >= 200) GROUP BY doc_id, lang),
+far_chars AS (SELECT doc_id FROM js_chars GROUP BY doc_id HAVING min(js) > 0.29),
+each AS (SELECT doc_id, lang, unnest(w) AS x FROM w),
+short AS (SELECT doc_id, lang, CASE WHEN length(x) <= 6 THEN lower(x) ELSE '' END AS x FROM each),
+counted AS (SELECT lang, x, count(*) AS n FROM short WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, x),
+top AS (SELECT DISTINCT x FROM (SELECT x, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM counted WHERE x <> '') WHERE r <= 12),
+total AS (SELECT lang, sum(n)::DOUBLE AS n FROM counted GROUP BY lang),
+listed AS (SELECT t.lang, top.x, coalesce(c.n, 0) / t.n AS q FROM total t CROSS JOIN top LEFT JOIN counted c ON c.lang = t.lang AND c.x = top.x),
+ref_words AS (SELECT * FROM listed UNION ALL SELECT lang, '', 1 - sum(q) FROM listed GROUP BY lang),
+doc_listed AS (SELECT doc_id, x, count(*) AS n FROM short WHERE x IN (SELECT x FROM top) GROUP BY doc_id, x),
+doc_words AS (
+  SELECT w.doc_id, v.x, coalesce(n.n, 0) / len(w.w)::DOUBLE AS p FROM w CROSS JOIN top v LEFT JOIN doc_listed n ON n.doc_id = w.doc_id AND n.x = v.x WHERE len(w.w) >= 60
+  UNION ALL SELECT w.doc_id, '', 1 - coalesce(s.n, 0) / len(w.w)::DOUBLE FROM w LEFT JOIN (SELECT doc_id, sum(n) AS n FROM doc_listed GROUP BY doc_id) s ON s.doc_id = w.doc_id WHERE len(w.w) >= 60),
+js_words AS (
+  SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / (2 * ln(2)), 0)) AS js
+  FROM doc_words JOIN ref_words USING (x) GROUP BY doc_id, lang),
+far_words AS (SELECT doc_id FROM js_words GROUP BY doc_id HAVING min(js) > 0.36),
+wins AS (SELECT doc_id, s, [w[s], w[s + 1], w[s + 2]] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) > 2)),
+twice AS (SELECT doc_id, v FROM wins GROUP BY doc_id, v HAVING count(*) > 1),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 3)) AS p FROM wins JOIN twice USING (doc_id, v)) GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (d.n - d.classes[4])::BIGINT AS word_chars, d.classes[5]::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN again ON again.doc_id = d.doc_id)
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM far_chars) AND doc_id NOT IN (SELECT doc_id FROM far_words) AS kept
+FROM base
+"""

@@ -20,5 +20,6 @@ ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_minhash": minhash.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
     "op9_substring": substring.ORACLE,
 }
