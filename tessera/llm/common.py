@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,25 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def early_filters(spark: SparkSession):
+    """Let Spark put a Bloom filter of a join's smaller side below the larger side's shuffle, whatever their sizes.
+
+    Spark bounds the filter (spark.sql.optimizer.runtime.bloomFilter.maxNumBits, 8 MB by default), so
+    only the sizes from which it is tried are set here, for what is executed in the block.
+    """
+    prefix = "spark.sql.optimizer.runtime.bloomFilter"
+    wanted = {f"{prefix}.enabled": "true", f"{prefix}.applicationSideScanSizeThreshold": "0", f"{prefix}.creationSideThreshold": "1t"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without the columns named (in any case of letters)."""
     gone = {n.lower() for n in names}

@@ -43,11 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, run_hashes, stash, table
+from tessera.llm.common import WordHashes, early_filters, run_hashes, stash, table
 
 #: Bytes of words: A-Z in lower case; blanks are what bytes.split() splits at.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WIDTH, BANDS, ROWS = 5, 18, 3
+#: Stands for a null doc_id where texts are looked up.
+LAST = (1 << 63) - 1
 
 
 def shingles(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -230,8 +232,11 @@ def link(classes: DataFrame, docs: DataFrame, text: str, similarity: int) -> Dat
     shared = each.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = stash(each.join(shared, "value"))
     inside = stash(rows.groupBy("node").agg(F.sum("size").alias("weight")).join(classes.select("node", "set", "rep", "n"), "node"))
-    one = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = stash(of_node(inside.join(one, inside["rep"].eqNullSafe(one["rep"])).select("node", "set", "n", "text")))
+    one = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rep"), F.col(text).alias("text"))
+    with early_filters(docs.sparkSession):
+        # Spark only filters by a side that has a comparison of its own; each of these sets has a shingle.
+        few = inside.where("n > 0").select("node", "set", "n", F.coalesce("rep", F.lit(LAST)).alias("rep"))
+        texts = stash(of_node(one.join(few, "rep").select("node", "set", "n", "text")))
     rows = stash(rows.drop("size").join(inside.select("node", "weight"), "node"))
     labels = inside.select("node", F.col("node").alias("label"))
     for order in (-F.col("weight"), F.xxhash64("node")):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordHashes, map_columns, run_hashes, stash, table
+from tessera.llm.common import WordHashes, early_filters, map_columns, run_hashes, stash, table
 
 LAST = (1 << 63) - 1
 
@@ -224,8 +224,9 @@ def repeated(docs: DataFrame, text: str, window: int, anchor: int, block_words:
     held = each.join(shared, "key").groupBy("ref", "doc_id", "own").agg(F.collect_list("place").alias("places"))
     referred = stash(held.join(leading, "ref").where("doc_id > ref or own != lead").join(names, ["doc_id", "own"]).select("ref", "lead", "doc_id", "node", "n_words", "places"))
     leads = referred.groupBy("ref", "lead").agg(F.ceil(F.sum("n_words") / block_words).alias("blocks"))
-    leads = stash(leads.join(names.select(F.col("doc_id").alias("ref"), F.col("own").alias("lead"), "node"), ["ref", "lead"]))
-    fetched = of_node(docs, referred.select("doc_id", "node").union(leads.select("ref", "node")).distinct(), text)
+    leads = stash(leads.join(names.select(F.col("doc_id").alias("ref"), F.col("own").alias("lead"), "node", "n_words"), ["ref", "lead"]))
+    needed = stash(referred.select("doc_id", "node", "n_words").union(leads.select("ref", "node", "n_words")).distinct())
+    fetched = of_node(docs, needed, text)
     partners = referred.join(leads.select("ref", "blocks"), "ref").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("ref", "block", F.lit(1).alias("role"), "doc_id", "node", "places")
     first = leads.select("ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("ref").alias("doc_id"), "node", F.lit(None).cast("array<array<int>>").alias("places"))
     rows = first.unionByName(partners).join(fetched, "node").select("ref", "block", "role", "doc_id", "node", "places", "text")
@@ -240,7 +241,8 @@ def repeated(docs: DataFrame, text: str, window: int, anchor: int, block_words:
 def of_node(docs: DataFrame, needed: DataFrame, text: str) -> DataFrame:
     """node and text for the nodes needed, one row each; rows of an id that have other words drop out."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
-    got = own.join(needed, "doc_id").select("node", "text")
+    # Spark only filters by a side that has a comparison of its own; each of these texts has words.
+    got = own.join(needed.where("n_words > 0"), "doc_id").select("node", "text")
 
     def run(batches):
         import xxhash
@@ -249,7 +251,8 @@ def of_node(docs: DataFrame, needed: DataFrame, text: str) -> DataFrame:
             keep = [i for i, (node, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))) if xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) == node]
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return stash(got.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.first("text").alias("text")))
+    with early_filters(docs.sparkSession):
+        return stash(got.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.first("text").alias("text")))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", window: int = 50, anchor: int = 12, block_words: int = 400_000, shard_words: int = 200_000) -> DataFrame:
