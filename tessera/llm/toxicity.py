@@ -160,7 +160,7 @@ class Automaton:
                 more = errors + (letter != c)
                 if more <= self.reach[child]:
                     out.add((child, more))
-            if node and errors + 1 <= self.reach[node]:
+            if errors + 1 <= self.reach[node]:
                 out.add((node, errors + 1))
         return self.close(out) if out else frozenset()
 
