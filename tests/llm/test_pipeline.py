@@ -41,8 +41,6 @@ def test_stages(spark):
 
 
 def test_odd_rows(spark):
-    import pytest
-
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "123 456", None, "s", 7), (4, "Der Hund und die Katze " * 3, "de", None, None), (4, "Der Hund und die Katze " * 3, "de", None, None), (None, "Mail an x@y.example.de bitte", "de", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
@@ -54,4 +52,3 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stash(stage(spark, empty, SF))
     assert empty.count() == 0
-    assert pytest
