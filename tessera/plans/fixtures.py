@@ -53,6 +53,11 @@ def thin_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where((low * 7 + high * 13) % 5 < 2)
 
 
+def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item's part and supplier, ids as they are and in one id space."""
+    return table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v"))
+
+
 def rectangles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     def of(name: str, key: str, a: int, b: int) -> DataFrame:
         k = F.col(key)

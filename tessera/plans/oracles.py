@@ -18,6 +18,8 @@ _DENSE = """raw AS (SELECT l_partkey % 100 AS u, l_suppkey AS v FROM lineitem),
 e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM raw WHERE u <> v)"""
 _THIN = """raw AS (SELECT l_partkey % 60 AS u, l_suppkey AS v FROM lineitem WHERE l_suppkey < 60),
 e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM raw WHERE u <> v AND (least(u, v) * 7 + greatest(u, v) * 13) % 5 < 2)"""
+_WHOLE = """raw AS (SELECT l_partkey AS u, l_suppkey AS v FROM lineitem),
+e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM raw WHERE u <> v)"""
 _TRIANGLES = "tri AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.u = y.u AND x.v < y.v JOIN e z ON z.u = x.v AND z.v = y.v)"
 _SIDES = "sides AS (SELECT a AS u, b AS v, c AS w FROM tri UNION ALL SELECT a, c, b FROM tri UNION ALL SELECT b, c, a FROM tri)"
 _PER_EDGE = f"{_TRIANGLES}, {_SIDES}, n AS (SELECT u, v, count(*) AS n FROM sides GROUP BY u, v)"
@@ -104,3 +106,6 @@ UNION ALL SELECT 'C', C, place FROM (SELECT C, row_number() OVER (ORDER BY n DES
     "residual_hc": f"{_RST_JOIN} WHERE B NOT IN (SELECT B FROM hb) AND C IN (SELECT C FROM hc)",
     "residual_hbhc": f"{_RST_JOIN} WHERE B IN (SELECT B FROM hb) AND C IN (SELECT C FROM hc)",
 }
+
+#: The same over the whole of lineitem.
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(_THIN, _WHOLE) for name in ("wedges", "triangles", "triangle_edge_counts", "diamond_partitioned", "diamond_partitioned_total")}

@@ -125,6 +125,31 @@ def diamond_partitioned_total(spark, sf_dir):
     return graph.diamond_total_partitioned(fx.thin_graph(spark, sf_dir), 6)
 
 
+@query
+def wedges_whole(spark, sf_dir):
+    return graph.wedges(fx.whole_graph(spark, sf_dir))
+
+
+@query
+def triangles_whole(spark, sf_dir):
+    return graph.triangles(fx.whole_graph(spark, sf_dir))
+
+
+@query
+def triangle_edge_counts_whole(spark, sf_dir):
+    return graph.triangle_edge_counts(fx.whole_graph(spark, sf_dir))
+
+
+@query
+def diamond_partitioned_whole(spark, sf_dir):
+    return graph.diamonds_by_partition(fx.whole_graph(spark, sf_dir), 6)
+
+
+@query
+def diamond_partitioned_total_whole(spark, sf_dir):
+    return graph.diamond_total_partitioned(fx.whole_graph(spark, sf_dir), 6)
+
+
 @query
 def rect_cells_split(spark, sf_dir):
     p = fx.rectangles(spark, sf_dir)[0]
