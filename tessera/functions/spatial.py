@@ -80,6 +80,12 @@ def split_cells(r: dict[str, Column], g: Grid) -> Column:
     return _cells(F.sequence(first_row(r, g), last_row(r, g)), F.sequence(first_col(r, g), last_col(r, g)), g)
 
 
+def closed_cells(r: dict[str, Column], g: Grid) -> Column:
+    """All cells that a rectangle touches, also those of which it only touches the upper or right edge."""
+    row, col = _slot(F.ceil(r["yb"] / g.cell_height) - 1, 1.0, g.rows), _slot(F.ceil(r["xl"] / g.cell_width) - 1, 1.0, g.cols)
+    return _cells(F.sequence(row, last_row(r, g)), F.sequence(col, last_col(r, g)), g)
+
+
 def quadrant_cells(r: dict[str, Column], g: Grid) -> Column:
     """All cells whose row and column are not before those of the home cell."""
     return _cells(F.sequence(first_row(r, g), F.lit(g.rows - 1)), F.sequence(first_col(r, g), F.lit(g.cols - 1)), g)

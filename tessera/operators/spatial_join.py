@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.spatial import BOUNDS, Grid, crosses, first_col, first_row, home_cell, overlaps, quadrant_cells, rect, split_cells
+from tessera.functions.spatial import BOUNDS, Grid, closed_cells, crosses, first_col, first_row, home_cell, overlaps, quadrant_cells, rect, split_cells
 
 RELATIONS = ("p", "q", "r", "s")
 IDS = [f"{x}_id" for x in RELATIONS]
@@ -78,7 +78,7 @@ def inside_pairs(q: DataFrame, r: DataFrame, g: Grid) -> DataFrame:
 def early_output(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid) -> DataFrame:
     """Chains whose q and r lie in one cell: p and s only need to touch that cell."""
     pairs = inside_pairs(q, r, g).where("inside").withColumn("cell", home_cell(rect("q_"), g))
-    p, s = (named(df, f"{x}_").withColumn("cell", F.explode(split_cells(rect(f"{x}_"), g))) for df, x in ((p, "p"), (s, "s")))
+    p, s = (named(df, f"{x}_").withColumn("cell", F.explode(closed_cells(rect(f"{x}_"), g))) for df, x in ((p, "p"), (s, "s")))
     out = pairs.join(p, "cell").where(overlaps(rect("p_"), rect("q_")))
     return out.join(s, "cell").where(overlaps(rect("r_"), rect("s_"))).select(*IDS)
 

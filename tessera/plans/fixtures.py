@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,19 @@ def rectangles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     return of("customer", "c_custkey", 31, 23), of("supplier", "s_suppkey", 47, 41), of("part", "p_partkey", 29, 37), of("orders", "o_orderkey", 43, 19)
 
 
+def rectangles_whole(spark: SparkSession, sf_dir: str) -> tuple[tuple[DataFrame, ...], Grid]:
+    """A rectangle for every row of the four tables, and a grid over a plane whose area grows with the orders."""
+    m = max(1, math.ceil(math.sqrt(table(spark, sf_dir, "orders", "o_orderkey").count() / 15000)))
+
+    def of(name: str, key: str, a: int, b: int) -> DataFrame:
+        k = F.col(key)
+        x, y = (37 * k) % (950 * m), (53 * k + 11) % (950 * m + 1)
+        return table(spark, sf_dir, name, key).select(k.alias("id"), x.cast("double").alias("xl"), y.cast("double").alias("yb"), (x + 5 + k % a).cast("double").alias("xr"), (y + 5 + k % b).cast("double").alias("yt"))
+
+    relations = of("customer", "c_custkey", 31, 23), of("supplier", "s_suppkey", 47, 41), of("part", "p_partkey", 29, 37), of("orders", "o_orderkey", 43, 19)
+    return relations, Grid(4 * m, 4 * m, 1000.0 * m, 1000.0 * m)
+
+
 def chain_relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_partkey")
     r = items.where("l_orderkey < 300").select(F.col("l_orderkey").alias("A"), F.col("l_suppkey").alias("B"))

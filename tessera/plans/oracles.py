@@ -109,3 +109,23 @@ UNION ALL SELECT 'C', C, place FROM (SELECT C, row_number() OVER (ORDER BY n DES
 
 #: The same over the whole of lineitem.
 ORACLES |= {f"{name}_whole": ORACLES[name].replace(_THIN, _WHOLE) for name in ("wedges", "triangles", "triangle_edge_counts", "diamond_partitioned", "diamond_partitioned_total")}
+
+
+def _whole_rects(name: str, table: str, key: str, a: int, b: int) -> str:
+    x, y = f"((37 * {key}) % (950 * m))", f"((53 * {key} + 11) % (950 * m + 1))"
+    return f"{name} AS (SELECT {key} AS id, {x}::DOUBLE AS xl, {y}::DOUBLE AS yb, ({x} + 5 + {key} % {a})::DOUBLE AS xr, ({y} + 5 + {key} % {b})::DOUBLE AS yt FROM {table}, side)"
+
+
+_SIDE = "side AS (SELECT greatest(1, ceil(sqrt(count(*) / 15000.0)))::BIGINT AS m FROM orders)"
+_WHOLE_RECTS = ", ".join([_SIDE, _whole_rects("p", "customer", "c_custkey", 31, 23), _whole_rects("q", "supplier", "s_suppkey", 47, 41), _whole_rects("r", "part", "p_partkey", 29, 37), _whole_rects("s", "orders", "o_orderkey", 43, 19)])
+_M = "(SELECT m FROM side)"
+
+
+def _grown(sql: str) -> str:
+    """The SQL over whole tables: 4m x 4m cells, still 250 wide."""
+    for old, new in ((_RECTS, _WHOLE_RECTS), ("least(3, ", f"least(4 * {_M} - 1, "), (" * 4 + ", f" * 4 * {_M} + "), ("range(4)", f"(SELECT unnest(range(4 * {_M})))")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+ORACLES |= {f"{name}_whole": _grown(sql) for name, sql in ORACLES.items() if name.startswith("rect_")}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import spatial as sp
 from tessera.functions import text as tx
+from tessera.functions.spatial import Grid
 from tessera.operators import grades, graph, range_join, skew_join, spatial_join, words
 from tessera.plans import fixtures as fx
 
@@ -150,57 +151,66 @@ def diamond_partitioned_total_whole(spark, sf_dir):
     return graph.diamond_total_partitioned(fx.whole_graph(spark, sf_dir), 6)
 
 
-@query
-def rect_cells_split(spark, sf_dir):
-    p = fx.rectangles(spark, sf_dir)[0]
-    return p.select("id", F.explode(sp.split_cells(sp.rect(), fx.GRID)).alias("cell"))
+def over_rectangles(f: Callable[[tuple[DataFrame, ...], Grid], DataFrame]) -> Callable:
+    """Register f over the rectangles that the SQL fixes, and as *_whole over all rows."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(fx.rectangles(spark, sf_dir), fx.GRID)
+    QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(*fx.rectangles_whole(spark, sf_dir))
+    return f
 
 
-@query
-def rect_cells_first_quadrant(spark, sf_dir):
-    q = fx.rectangles(spark, sf_dir)[1]
-    return q.select("id", F.explode(sp.quadrant_cells(sp.rect(), fx.GRID)).alias("cell"))
+def _coarse(grid: Grid) -> Grid:
+    """For replication: the last cell gets every row whatever the grid, so more cells only make more copies."""
+    return Grid(4, 4, grid.width, grid.height)
 
 
-@query
-def rect_crossing(spark, sf_dir):
-    r = fx.rectangles(spark, sf_dir)[2]
+@over_rectangles
+def rect_cells_split(relations, grid):
+    return relations[0].select("id", F.explode(sp.split_cells(sp.rect(), grid)).alias("cell"))
+
+
+@over_rectangles
+def rect_cells_first_quadrant(relations, grid):
+    return relations[1].select("id", F.explode(sp.quadrant_cells(sp.rect(), grid)).alias("cell"))
+
+
+@over_rectangles
+def rect_crossing(relations, grid):
     own = sp.rect()
-    row, col = sp.first_row(own, fx.GRID), sp.first_col(own, fx.GRID)
-    return r.select("id", sp.home_cell(own, fx.GRID).alias("cell"), sp.crosses(own, row, col, fx.GRID).alias("crosses"))
+    row, col = sp.first_row(own, grid), sp.first_col(own, grid)
+    return relations[2].select("id", sp.home_cell(own, grid).alias("cell"), sp.crosses(own, row, col, grid).alias("crosses"))
 
 
-@query
-def rect_overlap_pairs(spark, sf_dir):
-    _, q, r, _ = fx.rectangles(spark, sf_dir)
-    pairs = spatial_join.overlap_pairs(spatial_join.named(q, "q_"), spatial_join.named(r, "r_"), "q_", "r_", fx.GRID)
+@over_rectangles
+def rect_overlap_pairs(relations, grid):
+    _, q, r, _ = relations
+    pairs = spatial_join.overlap_pairs(spatial_join.named(q, "q_"), spatial_join.named(r, "r_"), "q_", "r_", grid)
     x, y = sp.overlap_midpoint(sp.rect("q_"), sp.rect("r_"))
     return pairs.select("q_id", "r_id", x.alias("mid_x"), y.alias("mid_y"))
 
 
-@query
-def rect_chain(spark, sf_dir):
-    return spatial_join.chain_join(*fx.rectangles(spark, sf_dir), fx.GRID)
+@over_rectangles
+def rect_chain(relations, grid):
+    return spatial_join.chain_join(*relations, grid)
 
 
-@query
-def rect_all_replicate(spark, sf_dir):
-    return spatial_join.all_replicate(*fx.rectangles(spark, sf_dir), fx.GRID)
+@over_rectangles
+def rect_all_replicate(relations, grid):
+    return spatial_join.all_replicate(*relations, _coarse(grid))
 
 
-@query
-def rect_early_output(spark, sf_dir):
-    return spatial_join.early_output(*fx.rectangles(spark, sf_dir), fx.GRID)
+@over_rectangles
+def rect_early_output(relations, grid):
+    return spatial_join.early_output(*relations, grid)
 
 
-@query
-def rect_marked(spark, sf_dir):
-    return spatial_join.marked(*fx.rectangles(spark, sf_dir), fx.GRID)[1]
+@over_rectangles
+def rect_marked(relations, grid):
+    return spatial_join.marked(*relations, grid)[1]
 
 
-@query
-def rect_controlled_replicate(spark, sf_dir):
-    return spatial_join.controlled_replicate(*fx.rectangles(spark, sf_dir), fx.GRID)
+@over_rectangles
+def rect_controlled_replicate(relations, grid):
+    return spatial_join.controlled_replicate(*relations, _coarse(grid))
 
 
 @query

@@ -32,3 +32,23 @@ def test_graph_is_whole(spark, tmp_path):
     assert QUERIES["diamond_partitioned_total_whole"](spark, d).first()["total"] == 1
     suppliers = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey")
     assert fx.whole_graph(spark, SF).count() == suppliers.count()
+
+
+def test_rectangles_are_whole(spark, tmp_path):
+    """Keys beyond 400, and a plane of more than one side."""
+    n = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+    few = {"customer": range(380, 440), "supplier": range(390, 430), "part": range(380, 450), "orders": range(20000)}
+    d = small(spark, tmp_path, **{t: ([(k,) for k in few[t]], f"{c} long") for t, c in n.items()})
+    (p, q, r, s), grid = fx.rectangles_whole(spark, d)
+    assert [x.count() for x in (p, q, r, s)] == [60, 40, 70, 20000] and (grid.rows, grid.width) == (8, 2000.0)
+
+    def meet(a, b):
+        return a["xl"] <= b["xr"] and a["xr"] >= b["xl"] and a["yb"] <= b["yt"] and a["yt"] >= b["yb"]
+
+    p, q, r, s = (x.collect() for x in (p, q, r, s))
+    qr = [(b, c) for b in q for c in r if meet(b, c)]
+    at_p, at_s = {b["id"]: [a["id"] for a in p if meet(a, b)] for b in q}, {c["id"]: [e["id"] for e in s if meet(c, e)] for c in r}
+    want = sorted((a, b["id"], c["id"], e) for b, c in qr for a in at_p[b["id"]] for e in at_s[c["id"]])
+    assert want and max(b["id"] for b, _ in qr) > 400
+    for name in ("rect_chain_whole", "rect_all_replicate_whole", "rect_controlled_replicate_whole"):
+        assert sorted(tuple(x) for x in QUERIES[name](spark, d).collect()) == want
