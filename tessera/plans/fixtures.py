@@ -89,3 +89,11 @@ def chain_relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     s = items.where("l_orderkey >= 300 and l_orderkey < 400").select(F.col("l_suppkey").alias("B"), F.col("l_orderkey").alias("E"), (F.col("l_partkey") % 5).alias("C"))
     t = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").where("c_custkey < 300").select((F.col("c_nationkey") % 5).cast("long").alias("C"), F.col("c_custkey").alias("D"))
     return r, s, t
+
+
+def chain_relations_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All line items by order, all orders by customer, and each customer's orders: the chain grows in proportion to the tables."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    r = table(spark, sf_dir, "lineitem", "l_partkey", "l_orderkey").select(F.col("l_partkey").alias("A"), F.col("l_orderkey").alias("B"))
+    s = orders.select(F.col("o_orderkey").alias("B"), F.col("o_orderkey").alias("E"), F.col("o_custkey").alias("C"))
+    return r, s, orders.select(F.col("o_custkey").alias("C"), F.col("o_orderkey").alias("D"))

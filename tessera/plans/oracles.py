@@ -129,3 +129,9 @@ def _grown(sql: str) -> str:
 
 
 ORACLES |= {f"{name}_whole": _grown(sql) for name, sql in ORACLES.items() if name.startswith("rect_")}
+
+_WHOLE_RST = """r AS (SELECT l_partkey AS A, l_orderkey AS B FROM lineitem),
+s AS (SELECT o_orderkey AS B, o_orderkey AS E, o_custkey AS C FROM orders),
+t AS (SELECT o_custkey AS C, o_orderkey AS D FROM orders),
+""" + _RST[_RST.index("hb AS") :]
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(_RST, _WHOLE_RST) for name in ("chain_join", "skew_join", "chain_join_count", "heavy_hitters", "residual_light", "residual_hb", "residual_hc", "residual_hbhc")}

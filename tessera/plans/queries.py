@@ -213,40 +213,53 @@ def rect_controlled_replicate(relations, grid):
     return spatial_join.controlled_replicate(*relations, _coarse(grid))
 
 
-@query
-def chain_join(spark, sf_dir):
-    return skew_join.chain_join(*fx.chain_relations(spark, sf_dir))
+Relations = tuple[DataFrame, DataFrame, DataFrame]
 
 
-@query
-def chain_join_count(spark, sf_dir):
-    return skew_join.chain_join_count(*fx.chain_relations(spark, sf_dir)).select(F.col("n").cast("long").alias("n"))
+def over_chain(name: str) -> Callable:
+    """Register a plan over the relations that the SQL fixes, and as *_whole over all rows."""
 
+    def register(f: Callable[[SparkSession, Relations], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(spark, fx.chain_relations(spark, sf_dir))
+        QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(spark, fx.chain_relations_whole(spark, sf_dir))
+        return f
 
-@query
-def heavy_hitters(spark, sf_dir):
-    r, _, t = fx.chain_relations(spark, sf_dir)
+    return register
+
+
+@over_chain("chain_join")
+def chain_join(spark, relations):
+    return skew_join.chain_join(*relations)
+
+
+@over_chain("chain_join_count")
+def chain_join_count(spark, relations):
+    return skew_join.chain_join_count(*relations).select(F.col("n").cast("long").alias("n"))
+
+
+@over_chain("heavy_hitters")
+def heavy_hitters(spark, relations):
+    r, _, t = relations
     rows = [("B", int(v), i) for i, v in enumerate(skew_join.heavy_hitters(r, "B", top=2))] + [("C", int(v), i) for i, v in enumerate(skew_join.heavy_hitters(t, "C", top=2))]
     return spark.createDataFrame(rows, "key string, value long, place long")
 
 
-def _residual(name: str) -> Query:
-    def run(spark, sf_dir):
-        r, s, t = fx.chain_relations(spark, sf_dir)
+def _residual(name: str) -> None:
+    @over_chain(f"residual_{name}")
+    def run(spark, relations):
+        r, s, t = relations
         b, c = skew_join.heavy_hitters(r, "B", top=2), skew_join.heavy_hitters(t, "C", top=2)
         return skew_join.residual_join(name, skew_join.residuals(r, s, t, b, c)[name], skew_join.sizes(r, s, t, b, c)[name], 100)
 
-    return run
 
+for _name in ("light", "hb", "hc", "hbhc"):
+    _residual(_name)
 
-QUERIES |= {f"residual_{name}": _residual(name) for name in ("light", "hb", "hc", "hbhc")}
 
-
-@query
-def skew_join_rows(spark, sf_dir):
-    r, s, t = fx.chain_relations(spark, sf_dir)
+@over_chain("skew_join")
+def skew_join_rows(spark, relations):
+    r, s, t = relations
     return skew_join.skew_join(r, s, t, skew_join.heavy_hitters(r, "B", top=2), skew_join.heavy_hitters(t, "C", top=2))
 
 
 QUERIES["range_join"] = QUERIES.pop("range_join_rows")
-QUERIES["skew_join"] = QUERIES.pop("skew_join_rows")

@@ -52,3 +52,13 @@ def test_rectangles_are_whole(spark, tmp_path):
     assert want and max(b["id"] for b, _ in qr) > 400
     for name in ("rect_chain_whole", "rect_all_replicate_whole", "rect_controlled_replicate_whole"):
         assert sorted(tuple(x) for x in QUERIES[name](spark, d).collect()) == want
+
+
+def test_chain_is_whole(spark, tmp_path):
+    """Keys beyond those of the cut: 300 and 400."""
+    items, orders = [(k % 7, 1000 + k % 50) for k in range(120)], [(1000 + k, 500 + k % 9) for k in range(60)]
+    d = small(spark, tmp_path, lineitem=(items, "l_partkey long, l_orderkey long"), orders=(orders, "o_orderkey long, o_custkey long"))
+    want = sorted((a, b, b, c, e) for a, b in items for o, c in orders if o == b for e, c2 in orders if c2 == c)
+    for name in ("chain_join_whole", "skew_join_whole"):
+        assert sorted(tuple(x) for x in QUERIES[name](spark, d).collect()) == want
+    assert QUERIES["chain_join_count_whole"](spark, d).first()["n"] == len(want)
