@@ -19,14 +19,21 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, langid, minhash, surrogates
 from tessera.llm.common import remainder, stash, table, without
 
-#: Language ID rejects texts without letters, and those whose score (half of 1 + margin) is below this.
-LEAST_LANGUAGE_SCORE = 0.15
+#: Language ID rejects texts without letters, and those whose score is less than this share of the way from 1 / C,
+#: the least that the best of C languages can have (the margins add up to 2 - C), to 1. Gibberish and other
+#: languages stay below it, texts in two learned languages above; with one language nothing can be told apart.
+LEAST_LANGUAGE_SHARE = 0.35
+
+
+def least_score(languages: int) -> float:
+    """The score below which language ID rejects a text."""
+    return 1 / languages + LEAST_LANGUAGE_SHARE * (1 - 1 / languages) if languages > 1 else 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told; learnt from the rows that op8 learns from."""
     model = langid.train(docs, remainder("doc_id", 5) != 0)
-    kept = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    kept = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least_score(len(model.names))))
     return kept.select(*docs.columns)
 
 

@@ -1,5 +1,6 @@
 """The pipeline, stage by stage against brute-force versions."""
 
+from pyspark.sql import functions as F
 from test_text_operators import brute_components, brute_hits
 
 import corpus_pipeline
@@ -52,3 +53,22 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stash(stage(spark, empty, SF))
     assert empty.count() == 0
+
+
+def test_no_language(spark):
+    """Texts with letters in no learned language are dropped, all others stay."""
+    import random
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
+    planted = [" ".join(word() for _ in range(n)) for n in (50, 200, 1000)]
+    planted += ["Koira ja kissa leikkivät puutarhassa, ja lapset juoksevat metsässä illalla. " * 3, "A kutya és a macska a kertben játszik, a gyerekek este az erdőben szaladnak. " * 3]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS)
+    odd = spark.createDataFrame([(10**6 + 5 * i, t, None, "planted", len(t)) for i, t in enumerate(planted)], docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.union(odd), SF)
+    assert kept.where("source = 'planted'").isEmpty()
+    assert kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_least_score():
+    assert all(1 / c < corpus_pipeline.least_score(c) < 1 for c in range(2, 100)) and corpus_pipeline.least_score(1) == 0
