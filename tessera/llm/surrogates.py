@@ -149,7 +149,7 @@ def matches(text: Column) -> Column:
 
 
 #: A cheap test that every text with a match passes.
-MAYBE = rf"[@0-9]|\b(?:{_TITLES}|{_GIVEN})\b"
+MAYBE = rf"[@0-9]|\b(?:{_TITLES}|{_GIVEN})\b|AKIA|ASIA|gh[pos]_|sk-|[a-f]{{32}}|[A-F]{{32}}"
 
 
 def redrawn(docs: DataFrame, key: str, text: str = "text") -> DataFrame | None:
