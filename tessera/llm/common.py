@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -27,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share, spark.checkpoint.dir.
+
+    Where that is unset, one JVM (master local) gets a folder of its own for the session; on a cluster
+    it is an error, as executors would write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -40,7 +47,17 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*stashes: DataFrame) -> None:
+    """Delete what stash() wrote; nothing that is still to be computed may read it."""
+    for df in stashes:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 @contextmanager
@@ -138,12 +155,21 @@ def sample_hash(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
-    """At most about `limit` rows of docs (doc_id, text, y) with a label, drawn by a hash of doc_id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int, classes: tuple[int, ...] | None = None) -> DataFrame:
+    """doc_id, text, y and h of at most `limit` labelled rows, drawn by h, a hash of doc_id; the same however the rows lie.
 
-    Labels are one row per doc_id (the largest where several exist); null labels and null
-    ids are left out. The sample's ids are bounded by `limit` (TakeOrdered), so they are broadcast.
+    Labels are one row per doc_id (the largest where several exist), before any choice; null labels
+    and null ids are left out. With classes, each label in it gets an equal share of the limit. Of
+    texts that share a doc_id, the one with the least hash is taken. The chosen ids are
+    bounded by `limit` (TakeOrdered), so they are broadcast; only chosen texts are shuffled.
     """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
-    chosen = one.select("doc_id", "y", sample_hash("doc_id").alias("h")).orderBy("h", "doc_id").limit(limit).select("doc_id", "y")
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    one = one.select("doc_id", "y", sample_hash("doc_id").alias("h"))
+    parts = [one] if classes is None else [one.where(F.col("y") == c) for c in classes]
+    drawn = [p.orderBy("h", "doc_id").limit(limit // len(parts)) for p in parts]
+    chosen = drawn[0]
+    for more in drawn[1:]:
+        chosen = chosen.unionAll(more)
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    order = F.struct(F.xxhash64("text"), "text")
+    return found.groupBy("doc_id", "y", "h").agg(F.min_by("text", order).alias("text"))

@@ -8,12 +8,13 @@ for each language. The kernel is an inner product of scaled presence vectors, so
 weights is one small matrix: each batch of documents is scored by one matrix product with it.
 
 Training rows are a sample of at most `max_train` rows (default 4,096), drawn evenly over the
-languages by a hash; only their packed presence bits reach the driver. Everything else covers
-every row and whole texts.
+`max_languages` most frequent languages (default 200) by a hash; only their packed presence bits
+reach the driver. Everything else covers every row and whole texts.
 
 Defined cases: a text that is null or has no letter gives `und` with score 0; without training
-rows every document does. Ties go to the language that sorts first. Columns named lang_pred or
-score are replaced; others are passed on.
+rows every document does; an empty table gives no rows. Ties go to the language that sorts first.
+Repeated rows get equal results. A text is read whole, whatever its length; its presences take
+constant memory. Columns named lang_pred or score are replaced; others are passed on.
 """
 
 from __future__ import annotations
@@ -102,16 +103,23 @@ class Model:
         self.names, self.matrix = names, matrix
 
 
-def train(docs: DataFrame, learn: Column, max_train: int = 4096, landmarks: int = 320, ridge: float = 1e-3) -> Model:
-    """Fit on rows of docs (doc_id, text, lang) for which learn holds and lang is not null."""
+def train(docs: DataFrame, learn: Column, max_train: int = 4096, landmarks: int = 320, ridge: float = 1e-3, max_languages: int = 200) -> Model:
+    """Fit on at most max_train rows of docs (doc_id, text, lang) for which learn holds and lang is not null.
+
+    Languages are those of the `max_languages` most frequent values of lang. Each has an equal
+    share of the rows, where it has so many, by a hash of doc_id.
+    """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not sizes:
         return Model([], np.zeros((WIDTH, 0), np.float32))
-    share = max(8, max_train // len(sizes))
-    rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, share / n))])
-    few = rows.select("lang", "text", sample_hash("doc_id").alias("h")).where(F.col("h") < rate[F.col("lang")]).orderBy("h", "lang").limit(max_train + max_train // 4)
-    got = [(r["lang"], r["bits"]) for r in packed(few).select("lang", "bits").collect() if r["bits"] is not None]
+    share = max(1, max_train // len(sizes))
+    rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.25 * share / n))])
+    # A row's place within its language, in shares, so that a limit cuts all languages alike.
+    place = rows.select("lang", "text", "doc_id", (sample_hash("doc_id") / rate[F.col("lang")]).alias("place")).where("place < 1")
+    few = place.orderBy("place", "doc_id", "lang", F.xxhash64("text"), "text").limit(max_train)
+    drawn = sorted(((r["place"], r["doc_id"] is not None, r["doc_id"] or 0, r["lang"], r["bits"]) for r in packed(few).collect() if r["bits"] is not None))
+    got = [(k, bits) for *_, k, bits in drawn]
     if not got:
         return Model([], np.zeros((WIDTH, 0), np.float32))
     names = sorted({k for k, _ in got})

@@ -11,8 +11,12 @@ The labelled sample is at most `max_train` rows (default 4,096), which bounds wh
 broadcast: max_train x rank floats. Every document is scored over its whole text.
 
 Defined cases: a text that is null or without words has no neighbour and gets the share of
-label 1 among the labelled rows; without labelled rows every score is 0.5. Null labels don't
-count; several labels of one id count as the largest. A column named score is replaced.
+label 1 among the labelled rows; without labelled rows every score is 0.5; an empty table of
+documents gives no rows. Null labels don't count; several labels of one id count as the largest, and
+of several texts of one labelled id one is learnt from (the least by a hash). Of labelled rows equally
+near, those that come first in the order of the sample's hash and doc_id vote. Repeated rows get
+equal scores. Texts are read whole, whatever their length. A column named score is replaced, other
+columns are passed on.
 """
 
 from __future__ import annotations
@@ -109,9 +113,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", max_train: int = 4096, rank: int = 64) -> Voters:
-    """Fit on a sample of the labelled rows for which learn holds."""
-    rows = vectors(labelled(docs, labels, label, learn, max_train)).select("y", "counts").collect()
-    rows = rows[: 2 * max_train]  # ids that repeat in documents
+    """Fit on at most max_train of the labelled rows for which learn holds, in the order of a hash of doc_id."""
+    rows = vectors(labelled(docs, labels, label, learn, max_train)).select("h", "doc_id", "y", "counts").collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"]))  # so that sums and ties don't depend on the partitions
     if not rows:
         return Voters(np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
     x = np.frombuffer(b"".join(r["counts"] for r in rows), np.float32).reshape(len(rows), WIDTH)
@@ -121,6 +125,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     return Voters(projection, unit(x @ projection), y)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest values of each row; among equals the first places win."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, [-k]]
+    over, level = near > least, near == least
+    room = k - over.sum(1, keepdims=True)
+    return np.nonzero(over | (level & (np.cumsum(level, axis=1) <= room)))[1].reshape(len(near), k)
+
+
 def vote(docs: DataFrame, voters: Voters, text: str = "text", neighbours: int = 12, block: int = 256, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with score, the similarity-weighted share of label 1 among the nearest labelled rows."""
     at = docs.columns.index(text)
@@ -138,7 +150,7 @@ def vote(docs: DataFrame, voters: Voters, text: str = "text", neighbours: int =
                     score.append(np.full(len(x), prior))
                     continue
                 near = unit(x @ projection) @ points.T
-                top = np.argpartition(near, len(labels) - k, axis=1)[:, -k:]
+                top = nearest(near, k)
                 weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 8
                 total = weight.sum(1)
                 score.append(np.where(total > 0, (weight * labels[top]).sum(1) / np.where(total > 0, total, 1), prior))

@@ -4,21 +4,29 @@ Learning. A labelled sample gives the lexicon: whole words (written with a final
 stems (beginnings of words) that occur much more often in toxic documents than in others, chosen
 greedily until they cover the toxic documents that they can. The entries form a trie.
 
-Matching. For each entry a Levenshtein automaton accepts the words within its error bound (one
-error from five letters on). The product of these automata with the trie is explored lazily: a
-state is a set of (trie node, errors so far), transitions are kept, and the empty state ends a
-word's reading at once. So each distinct word costs a few table look-ups.
+Matching. For each entry a Levenshtein automaton accepts the words within its error bound, which
+grows with its length (`bounds`: one error from five letters on, two from nine). An error is a
+letter changed, left out or put in, or two neighbours swapped. The product of these automata with
+the trie is explored lazily: a state is a set of (trie node, errors so far, first letter of a swap under
+way), transitions are kept, and the empty state ends a word's reading at once. So each distinct word costs
+a few table look-ups. A token with signs between its letters (`i.d-iot`) is read once more without
+them, as a misspelling.
 
 Scoring. Each hit falls in a class: exact or misspelt, and abuse or quotation, the latter where
 the window of `window` words to either side holds a quotation mark or a verb of reporting.
 A logistic model over log counts of the four classes and the summed evidence of the entries, as
 such and by the number of words, is fitted on the sample and scores every whole text.
 
-Bounds: at most `max_train` labelled rows (default 3,000, half of them per label where there are
-enough), `max_entries` entries and `max_states` kept automaton states; the rest covers all rows.
+Bounds: at most `max_train` labelled rows (default 3,000, at most half of them per label), entries of
+`stems` letters (default 4 to 10) or whole words, `max_entries` entries and `max_states` kept automaton
+states; a word's uses count up to `most_uses` in a document when entries are learnt. The rest covers all rows.
 
 Defined cases: null and empty texts are scored as a document without hits; without labelled
-rows every score is 0.5. A column named score is replaced.
+rows of both labels every score is 0.5; an empty table gives no rows. Several labels of one id count as the
+largest; of several texts of one labelled id one is learnt from. Among entries of equal worth the longer and
+then the later in the alphabet is taken; among equal matches of a word the fewest errors, then the first
+in the automaton's reading. Repeated rows get equal scores. Texts are read whole, whatever their length;
+a task keeps at most `CACHE_ENTRIES` words. A column named score is replaced, others are passed on.
 """
 
 from __future__ import annotations
@@ -47,21 +55,21 @@ _WORD = re.compile(r"[^\W_]+")
 FEATURES = 9
 
 
-def prefixes(word: str) -> list[str]:
+def prefixes(word: str, stems: range = STEM_LETTERS) -> list[str]:
     """The entries that would match word exactly: its stems, and itself as a whole word."""
-    return [word[:n] for n in STEM_LETTERS if n <= len(word)] + ([word + "$"] if len(word) > 2 else [])
+    return [word[:n] for n in stems if n <= len(word)] + ([word + "$"] if len(word) > 2 else [])
 
 
-def occurrences(words: Counter) -> Counter:
-    """How often a document has each entry; at most 8 are counted of each word."""
+def occurrences(words: Counter, stems: range, most_uses: int) -> Counter:
+    """How often a document has each entry, up to most_uses."""
     out: Counter = Counter()
     for w, k in words.items():
-        for p in prefixes(w):
-            out[p] += min(k, 8)
+        for p in prefixes(w, stems):
+            out[p] = min(out[p] + k, most_uses)
     return out
 
 
-def learn_lexicon(documents: list[tuple[Counter, int]], max_entries: int = 200, least: int = 3, least_odds: float = 8.0, cover: int = 5) -> dict[str, float]:
+def learn_lexicon(documents: list[tuple[Counter, int]], max_entries: int = 200, least: int = 3, least_odds: float = 8.0, cover: int = 5, stems: range = STEM_LETTERS, most_uses: int = 8) -> dict[str, float]:
     """Entries with their log odds, from (counts of words, label) of each document.
 
     An entry's odds compare its occurrences a document in toxic and in other documents. Of
@@ -72,8 +80,7 @@ def learn_lexicon(documents: list[tuple[Counter, int]], max_entries: int = 200,
     used, n = [Counter(), Counter()], [0, 0]
     for words, y in documents:
         n[y] += 1
-        for p, k in occurrences(words).items():
-            used[y][p] += min(k, 8)
+        used[y].update(occurrences(words, stems, most_uses))
     if not n[1]:
         return {}
     odds = {p: ((k + 0.5) / n[1]) / ((used[0][p] + 0.5) / max(1, n[0])) for p, k in used[1].items() if k >= least}
@@ -81,7 +88,7 @@ def learn_lexicon(documents: list[tuple[Counter, int]], max_entries: int = 200,
     holders: dict[str, list[int]] = {p: [] for p in odds}
     for i, (words, y) in enumerate(documents):
         if y:
-            for p in occurrences(words):
+            for p in occurrences(words, stems, most_uses):
                 if p in holders:
                     holders[p].append(i)
     holders = {p: held for p, held in holders.items() if len(held) >= least}
@@ -110,10 +117,14 @@ def learn_lexicon(documents: list[tuple[Counter, int]], max_entries: int = 200,
     return lexicon
 
 
+#: (letters, errors): entries from so many letters on are matched with so many errors.
+BOUNDS = ((5, 1), (9, 2))
+
+
 class Automaton:
     """The lazily built product of the entries' Levenshtein automata and their trie."""
 
-    def __init__(self, lexicon: dict[str, float], max_states: int = 200_000):
+    def __init__(self, lexicon: dict[str, float], max_states: int = 200_000, bounds: tuple[tuple[int, int], ...] = BOUNDS):
         self.max_states = max_states
         self.children: list[dict[str, int]] = [{}]
         self.stem: list[tuple[float, int] | None] = [None]  # evidence and error bound at a stem's last node
@@ -121,7 +132,7 @@ class Automaton:
         self.reach = [0]  # the largest error bound below a node
         for entry, weight in lexicon.items():
             term = entry.rstrip("$")
-            node, bound = 0, 1 if len(term) >= 5 else 0
+            node, bound = 0, max([0, *(errors for letters, errors in bounds if len(term) >= letters)])
             self.reach[0] = max(self.reach[0], bound)
             for c in term:
                 if c not in self.children[node]:
@@ -136,32 +147,38 @@ class Automaton:
         self.reset()
 
     def reset(self) -> None:
-        self.start = self.close({(0, 0)})
+        self.start = self.close({(0, ""): 0})
         self.step: dict[tuple[frozenset, str], frozenset] = {}
 
-    def close(self, states: set[tuple[int, int]]) -> frozenset:
-        """With the nodes reached by letters that the word leaves out."""
-        todo = list(states)
+    def close(self, states: dict[tuple[int, str], int]) -> frozenset:
+        """With the nodes reached by letters that the word leaves out; the fewest errors for each."""
+        todo = [n for n, swap in states if not swap]
         while todo:
-            node, errors = todo.pop()
+            node = todo.pop()
+            errors = states[node, ""] + 1
             for child in self.children[node].values():
-                if errors + 1 <= self.reach[child] and (child, errors + 1) not in states:
-                    states.add((child, errors + 1))
-                    todo.append((child, errors + 1))
-        best: dict[int, int] = {}
-        for node, errors in states:
-            best[node] = min(errors, best.get(node, errors))
-        return frozenset(best.items())
+                if errors <= self.reach[child] and errors < states.get((child, ""), errors + 1):
+                    states[child, ""] = errors
+                    todo.append(child)
+        return frozenset((node, errors, swap) for (node, swap), errors in states.items())
 
     def read(self, state: frozenset, c: str) -> frozenset:
-        out: set[tuple[int, int]] = set()
-        for node, errors in state:
+        out: dict[tuple[int, str], int] = {}
+
+        def add(node: int, errors: int, swap: str = "") -> None:
+            if errors <= self.reach[node] and errors < out.get((node, swap), errors + 1):
+                out[node, swap] = errors
+
+        for node, errors, swap in state:
+            if swap:  # the entry's next letter was read before this one
+                if swap == c:
+                    add(node, errors)
+                continue
+            add(node, errors + 1)
             for letter, child in self.children[node].items():
-                more = errors + (letter != c)
-                if more <= self.reach[child]:
-                    out.add((child, more))
-            if errors + 1 <= self.reach[node]:
-                out.add((node, errors + 1))
+                add(child, errors + (letter != c))
+                if letter != c and c in self.children[child]:
+                    add(self.children[child][c], errors + 1, letter)
         return self.close(out) if out else frozenset()
 
     def match(self, word: str) -> tuple[float, int]:
@@ -177,13 +194,13 @@ class Automaton:
             state = nxt
             if not state:
                 return found
-            for node, errors in state:
+            for node, errors, swap in state:
                 hit = self.stem[node]
-                if hit and errors <= hit[1] and (not found[0] or errors < found[1]):
+                if hit and not swap and errors <= hit[1] and (not found[0] or (errors, -hit[0]) < (found[1], -found[0])):
                     found = (hit[0], errors)
-        for node, errors in state:
+        for node, errors, swap in state:
             hit = self.whole[node]
-            if hit and errors <= hit[1] and (not found[0] or errors <= found[1]):
+            if hit and not swap and errors <= hit[1] and (not found[0] or (errors, -hit[0]) < (found[1], -found[0])):
                 found = (hit[0], errors)
         return found
 
@@ -199,8 +216,11 @@ class Matches(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         best = None
-        for word in _WORD.findall(token.lower()):
+        words = _WORD.findall(token.lower())
+        for word in [*words, "".join(words)] if len(words) > 1 else words:
             weight, errors = self.automaton.match(word)
+            if word not in words:
+                errors = max(errors, 1)
             if weight and (best is None or (errors, -weight) < (best[1], -best[0])):
                 best = (weight, errors)
         self[token] = best
@@ -225,51 +245,48 @@ def features(text: str | None, matches: Matches, window: int) -> list[float]:
 
 
 class Model:
-    def __init__(self, lexicon: dict[str, float], weights: np.ndarray, window: int):
-        self.lexicon, self.weights, self.window = lexicon, weights, window
+    def __init__(self, lexicon: dict[str, float], weights: np.ndarray, window: int, bounds: tuple[tuple[int, int], ...] = BOUNDS):
+        self.lexicon, self.weights, self.window, self.bounds = lexicon, weights, window, bounds
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton steps; the last weight is the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the last weight is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_train: int = 3000, window: int = 6) -> Model:
-    """Fit on a sample of the labelled rows for which learn holds."""
-    rows = []
-    for y in (0, 1):
-        some = labelled(docs, labels.where(F.col(label) == y), label, learn, max_train // 2)
-        rows += [(r["text"], y) for r in some.select("text").toLocalIterator()][:max_train]
-    if len({y for _, y in rows}) < 2:
-        return Model({}, np.zeros(FEATURES + 1), window)
-    lexicon = learn_lexicon([(Counter(_WORD.findall(t.lower())), y) for t, y in rows])
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_train: int = 3000, window: int = 6, max_entries: int = 200, stems: range = STEM_LETTERS, most_uses: int = 8, bounds: tuple[tuple[int, int], ...] = BOUNDS) -> Model:
+    """Fit on at most max_train of the labelled rows for which learn holds, in the order of a hash of doc_id."""
+    drawn = labelled(docs, labels, label, learn, max_train, (0, 1)).collect()
+    rows = [(Counter(_WORD.findall(r["text"].lower())), r["text"], r["y"]) for r in sorted(drawn, key=lambda r: (r["h"], r["doc_id"]))]
+    if len({y for *_, y in rows}) < 2:
+        return Model({}, np.zeros(FEATURES + 1), window, bounds)
+    learnt = lambda part: learn_lexicon([(words, y) for words, _, y in part], max_entries, stems=stems, most_uses=most_uses)
+    lexicon = learnt(rows)
     # Entries that only chance puts into the lexicon should not look better than they are: score held-back halves.
     x, y = [], []
     for half in (0, 1):
-        part = learn_lexicon([(Counter(_WORD.findall(t.lower())), c) for i, (t, c) in enumerate(rows) if i % 2 != half])
-        matches = Matches(Automaton(part))
-        for i, (t, c) in enumerate(rows):
-            if i % 2 == half:
-                x.append(features(t, matches, window))
-                y.append(c)
-    return Model(lexicon, logistic(np.array(x), np.array(y, float), np.ones(len(y))), window)
+        matches = Matches(Automaton(learnt(rows[1 - half :: 2]), bounds=bounds))
+        for _, t, c in rows[half::2]:
+            x.append(features(t, matches, window))
+            y.append(c)
+    return Model(lexicon, logistic(np.array(x), np.array(y, float)), window, bounds)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with score, the model's probability that text is toxic."""
-    at, lexicon, weights, window = docs.columns.index(text), model.lexicon, model.weights, model.window
+    at, lexicon, weights, window, bounds = docs.columns.index(text), model.lexicon, model.weights, model.window, model.bounds
 
     def make():
-        matches = Matches(Automaton(lexicon))
+        matches = Matches(Automaton(lexicon, bounds=bounds))
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             x = np.array([features(t.as_py(), matches, window) for t in batch.column(at)], float).reshape(-1, FEATURES)

@@ -86,34 +86,111 @@ def test_votes_equal_brute_force(spark):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_automaton_equals_edit_distance():
+    """Edits, and swaps of neighbours that nothing else touches."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+@pytest.mark.parametrize("bounds", [toxicity.BOUNDS, ((4, 1), (5, 2))])
+def test_automaton_equals_edit_distance(bounds):
     rng = random.Random(5)
-    lexicon = {"idiot$": 3.0, "abcab": 2.0, "abc$": 1.0, "caba": 1.5}
-    automaton = toxicity.Automaton(lexicon, max_states=50)
+    lexicon = {"idiot$": 3.0, "abcab": 2.0, "abc$": 1.0, "caba": 1.5, "abcabcabc$": 2.5}
+    automaton = toxicity.Automaton(lexicon, max_states=50, bounds=bounds)
 
     def errors(word, entry):
         term = entry.rstrip("$")
-        bound = 1 if len(term) >= 5 else 0
+        bound = max([0, *(e for n, e in bounds if len(term) >= n)])
         best = distance(word, term) if entry.endswith("$") else min(distance(word[:n], term) for n in range(len(word) + 1))
         return best if best <= bound else None
 
-    words = ["idiot", "idoit", "idit", "xidiot", "idiots", "idi0t", "abc", "abcd", "abcabxyz", "abxabq", "caba", "cabazz", ""]
-    words += ["".join(rng.choice("abc") for _ in range(rng.randrange(8))) for _ in range(300)]
+    words = ["idiot", "idoit", "idit", "xidiot", "idiots", "idi0t", "abc", "abcd", "abcabxyz", "abxabq", "caba", "cabazz", "", "abcbacabc", "abcbacacb", "bacabcabx"]
+    words += ["".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(500)]
     for w in words:
         found = {e: errors(w, e) for e in lexicon if errors(w, e) is not None}
         weight, n = automaton.match(w)
         assert bool(weight) == bool(found), w
         if found:
             assert n == min(found.values()), (w, n, found)
+            assert weight == max(lexicon[e] for e in found if found[e] == n), w
+
+
+def test_signs_between_letters():
+    matches = toxicity.Matches(toxicity.Automaton({"idiot$": 3.0}))
+    assert matches["id!ot"] == (3.0, 1) and matches["i.d-i_o*t!"] == (3.0, 1) and matches["idiot!"] == (3.0, 0) and matches["it's"] is None
+
+
+@pytest.fixture
+def disagreeing(spark):
+    """Labels of which some ids have both, in two orders, and texts of which one id has two."""
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(["you", "are", "fine", "good", "day"] + ["idiot", "moron", "scum"] * (i % 2)) for _ in range(60))) for i in range(120)]
+    texts += [(0, "another text"), (None, "no id"), (7, None), (121, ""), (122, "x " * 50_000)]
+    labels = [(i, i % 2, i % 2) for i in range(125)] + [(i, 1 - i % 2, 1 - i % 2) for i in range(6)] + [(3, None, None), (None, 1, 1)]
+    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("module", [quality_knn, toxicity])
+def test_models_do_not_depend_on_partitions(spark, disagreeing, module):
+    docs, labels = disagreeing
+    apply = quality_knn.vote if module is quality_knn else toxicity.score
+    scores = []
+    for n in (1, 50):
+        model = module.train(docs.repartition(n), labels.repartition(n), F.lit(True))
+        scores.append({(r["doc_id"], r["text"]): r["score"] for r in apply(docs, model).collect()})
+    assert scores[0] == scores[1]
+    assert apply(docs.where("false"), model).count() == 0
+
+
+def test_labels_of_one_id_count_as_the_largest(disagreeing):
+    from tessera.llm.common import labelled
+
+    docs, labels = disagreeing
+    for classes in (None, (0, 1)):
+        rows = labelled(docs, labels, "toxic", F.lit(True), 1000, classes).collect()
+        got = {r["doc_id"]: r["y"] for r in rows}
+        assert len(rows) == len(got) and all(got[i] == 1 for i in range(6)) and None not in got
+        assert set(got) == set(range(120)) | {121, 122}
+    few = labelled(docs, labels, "toxic", F.lit(True), 20, (0, 1)).collect()
+    assert len(few) <= 20 and {r["y"] for r in few} == {0, 1}
+
+
+def test_language_equals_kernel_ridge(spark):
+    """With every training row a landmark, the Nystroem features give kernel ridge regression itself."""
+    np = langid.np
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60 and lang is not null")
+    rows = [r for r in docs.orderBy("doc_id").collect() if r["text"] and any(c.isalpha() for c in r["text"])]
+    model = langid.train(spark.createDataFrame(rows, docs.schema), F.lit(True), landmarks=10**6, ridge=1e-2)
+    letters = langid.letter_table()
+    grams = []
+    for r in rows:
+        row = np.zeros(langid.WIDTH, bool)
+        langid.presence(r["text"], letters, row)
+        grams.append([set(np.flatnonzero(row[langid.STARTS[n] : langid.STARTS[n + 1]]).tolist()) for n in range(len(langid.BLOCKS))])
+    kernel = np.array([[sum(len(a & b) / (len(a) * len(b)) ** 0.5 for a, b in zip(x, y)) / len(langid.BLOCKS) for y in grams] for x in grams])
+    names = sorted({r["lang"] for r in rows})
+    target = np.array([[1.0 if r["lang"] == n else -1.0 for n in names] for r in rows])
+    m = len(rows)
+    system = np.block([[kernel + 1e-2 * m * np.eye(m), np.ones((m, 1))], [np.ones((1, m)), np.zeros((1, 1))]])
+    weight = np.linalg.solve(system, np.vstack([target, np.zeros((1, len(names)))]))
+    out = kernel @ weight[:-1] + weight[-1]
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for r, o in zip(rows, out):
+        assert got[r["doc_id"]]["lang_pred"] == names[int(o.argmax())]
+        assert got[r["doc_id"]]["score"] == pytest.approx(min(1.0, (1 + o.max()) / 2), abs=2e-3)
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rare = spark.createDataFrame([(10**6 + i, "Koira ja kissa leikkivät puutarhassa ja lapset juoksevat", "fi", "x", 0) for i in range(3)], docs.schema)
+    both = [langid.train(docs.union(rare).repartition(n), F.lit(True), max_train=200, landmarks=50) for n in (1, 30)]
+    assert both[0].names == both[1].names and "fi" in both[0].names
+    assert langid.np.array_equal(both[0].matrix, both[1].matrix)
+    assert langid.train(docs.union(rare), F.lit(True), max_train=200, max_languages=2).names == sorted(r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect())
 
 
 def test_quotation_is_told_from_abuse():
