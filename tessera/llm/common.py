@@ -6,7 +6,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,23 +59,26 @@ def discard(*stashes: DataFrame) -> None:
         path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
-@contextmanager
-def early_filters(spark: SparkSession):
-    """Let Spark put a Bloom filter of a join's smaller side below the larger side's shuffle, whatever their sizes.
+#: Bits of one row of a filter table.
+FILTER_ROW = 1 << 15
 
-    Spark bounds the filter (spark.sql.optimizer.runtime.bloomFilter.maxNumBits, 8 MB by default), so
-    only the sizes from which it is tried are set here, for what is executed in the block.
+
+def passing(df: DataFrame, column: str, ids: DataFrame, bits_an_id: int = 16, most_bits: int = 1 << 31) -> DataFrame:
+    """Rows of df whose column (a long) may be in ids (one column of longs): all that are, and few others.
+
+    A bitmap of the ids' hashes is broadcast, so what is shuffled afterwards follows the ids. Its size
+    is set by their number and bounded by most_bits (256 MB); beyond it more rows pass, none is lost.
     """
-    prefix = "spark.sql.optimizer.runtime.bloomFilter"
-    wanted = {f"{prefix}.enabled": "true", f"{prefix}.applicationSideScanSizeThreshold": "0", f"{prefix}.creationSideThreshold": "1t"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    n = ids.count()
+    rows = max(1, min(-(-n * bits_an_id // FILTER_ROW), most_bits // FILTER_ROW))
+    at = lambda c: F.pmod(F.xxhash64(c, F.lit("filter")), F.lit(rows * FILTER_ROW))
+    place, bucket, bits = fresh(df, "place"), fresh(df, "bucket"), fresh(df, "bits")
+    own = ids.select(at(F.col(ids.columns[0]).cast("long")).alias("at"))
+    table = own.groupBy(F.shiftright("at", 15).alias(bucket)).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(FILTER_ROW))).alias(bits))
+    marked = df.withColumn(place, at(F.col(column).cast("long"))).withColumn(bucket, F.shiftright(place, 15)).join(F.broadcast(table), bucket)
+    inside = F.pmod(F.col(place), F.lit(FILTER_ROW)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(inside, 3) + 1, 1)), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, F.pmod(inside, F.lit(8))) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

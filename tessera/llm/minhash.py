@@ -7,11 +7,14 @@ similarity s meet in some table with probability (1 - (1 - s^rows)^bands)^2; wit
 (18 bands of 3 rows) that is 0.9999 at s = 0.75 and nearly 1 from 0.8 on.
 
 Classes. Documents with one shingle set are one class from the start (by a 128-bit hash of the
-sorted set), so copies cost nothing further, however many there are.
-
-Candidates. Classes that share a value of the first collection form a bucket. In each of two
-rounds, every class is compared with one leader of its buckets that is not yet in its
-component, a number of pairs that is linear in the classes; leaders are the classes with the
+sorted set), so copies cost nothing further, however many there are. Classes are numbered when they are
+written: each number is a file's place and a row's, so no two classes share one at any size.
+
+Candidates are pairs of classes that share a table key. Keys are not written out for classes that
+are alone with each value of the first collection. The others form a bucket for each such value; in
+each of two rounds, every class is compared with one leader of its buckets with which it shares a
+table key (the leader's values of the second collection travel with the bucket) and whose component it is not
+in, a number of pairs that is linear in the classes; leaders are the classes with the
 fullest buckets in the first round, and the least by a hash in the second. What is linked is
 contracted.
 
@@ -26,14 +29,17 @@ inside a large group are never listed. No pair of a table is lost.
 
 Verification counts the shingles that both whole texts have, on executors: pairs are dealt by
 leader and by blocks of bounded size, sorted so that the leader's text comes first, and
-streamed; only the leader's set is held. Texts are fetched for the classes in buckets only.
+streamed; only the leader's set is held. Texts are fetched for the classes in buckets only: a bitmap
+of their doc_ids, sized by their number, keeps most others out of the shuffle.
 
 Components are found by passing on the least label and by pointer jumping, in the shared
 folder's tables; nothing of them reaches the driver but counts.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked
 with nothing; fewer words than `width` make one shingle. Rows that repeat a doc_id share its
-fate; a null doc_id is larger than any other. Other columns are not read.
+fate if their texts are alike; a null doc_id is larger than any other. Other columns are not read. An empty
+table gives no rows. Texts are read whole; a task holds the shingle hashes of one long text at a time.
+Among leaders of equal rank the class of the least number is taken; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, early_filters, run_hashes, stash, table
+from tessera.llm.common import WordHashes, discard, passing, run_hashes, stash, table
 
 #: Bytes of words: A-Z in lower case; blanks are what bytes.split() splits at.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -75,7 +81,7 @@ def band_values(sets: np.ndarray, factors: np.ndarray, bands: int, rows: int) ->
 
 
 def sketch(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set (hash of the shingles; null if there are none), and the two collections a and b."""
+    """doc_id, n_shingles, set (hash of the shingles; null if there are none), the two collections a and b, and mark, the text's MD5."""
     rng = np.random.default_rng(20)
     factors = rng.integers(0, 1 << 63, 2 * bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -96,9 +102,10 @@ def sketch(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
                 a.append(both[:bands])
                 b.append(both[bands:])
             long_list = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(a, long_list), pa.array(b, long_list)], names=["doc_id", "n_shingles", "set", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(a, long_list), pa.array(b, long_list), batch.column(2)], names=["doc_id", "n_shingles", "set", "a", "b", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, set binary, a array<long>, b array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.md5(F.col(text)).alias("mark"))
+    return own.mapInArrow(run, "doc_id long, n_shingles long, set binary, a array<long>, b array<long>, mark string")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, similarity: int, lists: bool = False, block_shingles: int = 50_000) -> DataFrame:
@@ -159,15 +166,19 @@ class Index:
         return np.bincount(self.owner[at], minlength=self.n)
 
 
+#: What looking up one class costs besides its entries, in entries.
+ROW_COST = 2000
+
+
 def pivot_links(met: DataFrame, labels: DataFrame, similarity: int, block: int = 200_000, stretch: int = 1_000_000) -> DataFrame:
     """x and y of links that join all components that similar classes of one pivot are in.
 
     met has the pivot x, the class y, k, m, extra and missing. Classes outside the pivot's component
     form blocks of about `block` list entries; every class of the pivot meets each of them, dealt in
-    stretches of about `stretch` entries.
+    stretches of about `stretch` entries. A class counts as `ROW_COST` entries besides its own.
     """
     named = met.join(labels.select(F.col("node").alias("y"), "label"), "y").join(labels.select(F.col("node").alias("x"), F.col("label").alias("own")), "x")
-    size = F.size("extra") + F.size("missing") + 1
+    size = F.size("extra") + F.size("missing") + ROW_COST
     outside = F.when(F.col("label") != F.col("own"), size)
     shape = named.groupBy("x").agg(F.ceil(F.coalesce(F.sum(outside), F.lit(0)) / block).alias("blocks"), F.ceil(F.sum(size) / stretch).alias("stretches")).where("blocks > 0")
     dealt = named.join(shape, "x")
@@ -221,9 +232,11 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = stash(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        labels = after.select("node", "label")
+        discard(labels)
+        labels = after
         if after.where("label != old").isEmpty():
-            return labels
+            discard(edges)
+            return after
 
 
 def link(classes: DataFrame, docs: DataFrame, text: str, similarity: int) -> DataFrame:
@@ -233,32 +246,40 @@ def link(classes: DataFrame, docs: DataFrame, text: str, similarity: int) -> Dat
     rows = stash(each.join(shared, "value"))
     inside = stash(rows.groupBy("node").agg(F.sum("size").alias("weight")).join(classes.select("node", "set", "rep", "n"), "node"))
     one = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rep"), F.col(text).alias("text"))
-    with early_filters(docs.sparkSession):
-        # Spark only filters by a side that has a comparison of its own; each of these sets has a shingle.
-        few = inside.where("n > 0").select("node", "set", "n", F.coalesce("rep", F.lit(LAST)).alias("rep"))
-        texts = stash(of_node(one.join(few, "rep").select("node", "set", "n", "text")))
-    rows = stash(rows.drop("size").join(inside.select("node", "weight"), "node"))
-    labels = inside.select("node", F.col("node").alias("label"))
+    few = inside.select("node", "set", "n", F.coalesce("rep", F.lit(LAST)).alias("rep"))
+    texts = stash(of_node(passing(one, "rep", few.select("rep")).join(few, "rep").select("node", "set", "n", "text")))
+    each_value = rows
+    rows = stash(rows.drop("size").join(inside.select("node", "weight"), "node").join(classes.select("node", "b"), "node"))
+    discard(each_value)
+    labels = stash(inside.select("node", F.col("node").alias("label")))
+    discard(inside)
     for order in (-F.col("weight"), F.xxhash64("node")):
-        now = rows.join(labels, "node").select("value", "node", "label", F.struct(order.alias("o"), "node").alias("rank"))
-        leader = now.groupBy("value").agg(F.min_by(F.struct("rank", "label"), "rank").alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        led = now.join(leader, "value").where("label != leader.label")
+        now = rows.join(labels, "node").select("value", "node", "label", "b", F.struct(order.alias("o"), "node").alias("rank"))
+        leader = now.groupBy("value").agg(F.min_by(F.struct("rank", "label", "b"), "rank").alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        # A bucket's value and an equal value of the second collection are one table key.
+        one_key = F.exists(F.zip_with("b", "leader.b", lambda p, q: p == q), lambda same: same)
+        led = now.join(leader, "value").where("label != leader.label").where(one_key)
         pairs = stash(led.groupBy("node").agg(F.min("leader.rank").alias("rank")).select(F.col("rank.node").alias("x"), F.col("node").alias("y")))
-        if pairs.isEmpty():
-            return labels
-        labels = contract(labels, compare(pairs, texts, similarity).select("x", "y"))
-    # What is still mixed goes to the tensored tables, and is compared with their pivots there.
-    now = rows.join(labels, "node").select("value", "node", "label", "weight")
+        if not pairs.isEmpty():
+            labels = contract(labels, compare(pairs, texts, similarity).select("x", "y"))
+        discard(pairs)
+    # What is still mixed is dealt to the tables by their keys, and is compared with their pivots there.
+    now = rows.join(labels, "node").select("value", "node", "label", "weight", "b")
     mixed = now.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
-    tensored = now.join(mixed, "value").join(classes.select("node", "b"), "node").select("node", "label", "weight", "value", F.posexplode("b").alias("j", "other"))
+    tensored = now.join(mixed, "value").select("node", "label", "weight", "value", F.posexplode("b").alias("j", "other"))
     tensored = stash(tensored.select("node", "label", "weight", F.xxhash64("value", "j", "other").alias("key")))
+    discard(rows)
     pivots = tensored.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "pivot")
     pairs = stash(tensored.join(pivots, "key").where("node != pivot").groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("tables")).select("x", "y"))
-    if pairs.isEmpty():
-        return labels
-    met = stash(compare(pairs, texts, similarity, lists=True))
-    labels = contract(labels, met.where("linked").select("x", "y"))
-    return contract(labels, stash(pivot_links(met, labels, similarity)))
+    discard(tensored)
+    if not pairs.isEmpty():
+        met = stash(compare(pairs, texts, similarity, lists=True))
+        labels = contract(labels, met.where("linked").select("x", "y"))
+        more = stash(pivot_links(met, labels, similarity))
+        labels = contract(labels, more)
+        discard(met, more)
+    discard(pairs, texts)
+    return labels
 
 
 def of_node(fetched: DataFrame) -> DataFrame:
@@ -277,41 +298,40 @@ def of_node(fetched: DataFrame) -> DataFrame:
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels after the components that links join have become one."""
-    labels = stash(labels)
+    """labels (a stash, which goes) after the components that links join have become one."""
     own = links.join(labels.select(F.col("node").alias("x"), F.col("label").alias("u")), "x").join(labels.select(F.col("node").alias("y"), F.col("label").alias("v")), "y")
-    joined = components(stash(own.where("u != v").select(F.col("u").alias("x"), F.col("v").alias("y")).distinct()))
+    between = stash(own.where("u != v").select(F.col("u").alias("x"), F.col("v").alias("y")).distinct())
+    joined = components(between)
     new = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return stash(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
-
-
-def numbered(grouped: DataFrame) -> DataFrame:
-    """grouped with node, a 64-bit number of each set: a hash of the set's hash, with the first seed that gives no number twice."""
-    for seed in range(100):
-        classes = grouped.withColumn("node", F.xxhash64("set", F.lit(seed)))
-        if classes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
-            return classes
-    raise ValueError("no seed gives each set a number of its own")
+    out = stash(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+    discard(labels, between, joined)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id of the component) and kept, a row for each row of docs."""
+    """A row for each row of docs: doc_id, n_shingles, component_id (the least doc_id of the component) and kept.
+
+    Beside these, group (a number of the component; null for a class alone with its one row) and mark (the
+    text's MD5), by which rows of one doc_id can be told apart.
+    """
     sketched = stash(sketch(docs, text))
     grouped = sketched.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    classes = numbered(stash(grouped))
+    # The numbers stand in what is written, so whatever reads it again finds the same ones.
+    classes = stash(grouped.withColumn("node", F.monotonically_increasing_id()))
     labels = link(classes, docs, text, similarity)
     labelled = classes.select("set", "node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label != node or copies > 1").select("label").distinct()
     ids = stash(labelled.join(least, "label").select("label", "set", "rep"))
-    known = ids.join(ids.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("set", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "set").join(known, "set", "left")
+    discard(classes, labels)
+    known = ids.join(ids.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("set", "component_id", F.col("label").alias("group"))
+    out = sketched.select("doc_id", "n_shingles", "set", "mark").join(known, "set", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "group", "mark")
 
 
 def query(spark, sf_dir):
     """op6: the near-duplicate component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("group", "mark")
 
 
 ORACLE = r"""

@@ -12,21 +12,22 @@ window's reach are kept (winnowing), so every window holds an anchor, and equal
 equal ones. An anchor that occurs in one document proves that its windows occur nowhere else. For
 an anchor in several, the smallest of them is its reference document.
 
-Reference shards. The reference documents' suffix automata (over words, one automaton a
-document) are the shards; each is sent to the tasks that get the documents referring to it,
-in blocks of bounded size, never to all. A task streams those documents' spans through the
-automaton; the matching statistics say where a match of at least a window's length ends, and
-all windows within maximal matches repeat. Automata of documents longer than `shard_words` are made
-of overlapping pieces, so memory stays bounded.
+Reference shards. The reference documents' suffix automata (over 64-bit word hashes) are the shards;
+of documents longer than `shard_words` they are made of overlapping pieces, each a shard of its own, so memory
+stays bounded. A shard is sent to the tasks that get the documents which share an anchor within it, in
+blocks of bounded size, and never to all: that would be quadratic in the corpus. A task builds it once
+a block and streams those documents' spans through it; the matching statistics say where a match of at
+least a window's length ends, and all windows within maximal matches repeat.
 
 The rest. A window that holds a shared anchor, but does not occur in the anchor's reference
-document, may still occur in a third one. Its hash and doc_id are dealt out by hash, the smallest
+document, may still occur in a third one. Its 128-bit hash and doc_id are dealt out by hash, the smallest
 doc_id of each hash is kept (pre-aggregated), and larger ones are removed as well. Since all
 documents with the window hold the anchor, no occurrence is missed.
 
 Defined cases: null and empty texts have no words and nothing is removed; rows that repeat a
 doc_id with one text keep their words, as no smaller doc_id has them; a null doc_id is larger
-than any other; other columns are not read. Texts are worked on whole.
+than any other; other columns are not read; an empty table gives no rows. Texts are worked on whole.
+Of two texts of one doc_id neither is before the other.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordHashes, early_filters, map_columns, run_hashes, stash, table
+from tessera.llm.common import WordHashes, discard, map_columns, passing, run_hashes, stash, table
 
 LAST = (1 << 63) - 1
 
@@ -157,26 +158,26 @@ SPAN = "array<struct<first:int,last:int>>"
 
 
 def stream(rows: DataFrame, window: int, anchor: int, shard_words: int) -> DataFrame:
-    """doc_id, node and the repeated window starts (spans) of each partner, and the hashes of its windows that are left over.
+    """id, doc_id, whether the reference comes before it, the asked window starts and the repeated ones (spans), of each partner and piece.
 
-    rows (ref, block, role, doc_id, node, places, text) come sorted, the reference (role 0) first.
+    rows (ref_id, piece, block, role, id, doc_id, ref, places, text) come sorted, the reference (role 0) first.
     """
 
     def run(batches):
         hashes = WordHashes()
-        ref, pieces, automata = None, [], []
+        shard, automaton = None, None
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "node": [], "spans": [], "starts": [], "one": [], "two": []}
-            refs, roles, ids, nodes, places, texts = (batch.column(i) for i in (0, 2, 3, 4, 5, 6))
-            for r, role, doc_id, node, at, t in zip(refs.to_pylist(), roles.to_pylist(), ids.to_pylist(), nodes.to_pylist(), places, texts):
-                h = hashed(words_of(t.as_py()), hashes)
+            out: dict[str, list] = {"id": [], "asked": [], "spans": []}
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
+            for ref_id, piece, role, own_id, doc_id, ref, at, t in zip(*columns, batch.column(7), batch.column(8)):
                 if role == 0:
                     # Pieces overlap by all but one of a window's words, so each window is in one.
-                    ref, pieces = r, [h[a : a + shard_words + window - 1].tolist() for a in range(0, len(h) - window + 1, shard_words)]
-                    automata = [SuffixAutomaton(p) for p in pieces] if len(pieces) == 1 else []
+                    words = words_of(t.as_py())[piece * shard_words : (piece + 1) * shard_words + window - 1]
+                    shard, automaton = (ref_id, piece), SuffixAutomaton(hashed(words, hashes).tolist())
                     continue
-                if r != ref:
-                    pieces, automata = [], []
+                if (ref_id, piece) != shard:
+                    raise ValueError("a partner came without its reference")
+                h = hashed(words_of(t.as_py()), hashes)
                 # The windows that hold one of these anchors, as runs of starts.
                 width = len(h) - window + 1
                 asked = np.zeros(width + 1, np.int64)
@@ -185,24 +186,42 @@ def stream(rows: DataFrame, window: int, anchor: int, shard_words: int) -> DataF
                 np.add.at(asked, np.clip(own[:, 1] + 1, 0, width), -1)
                 asked = np.cumsum(asked[:-1]) > 0
                 found = np.zeros(width, bool)
-                if doc_id > r:
-                    for automaton in automata or map(SuffixAutomaton, pieces):
-                        for a, b in runs(asked):
-                            for s, e in automaton.spans(h[a : b + window - 1].tolist(), window):
-                                found[a + s : a + e - window + 1] = True
-                rest = np.flatnonzero(asked & ~found)
-                out["doc_id"].append(doc_id)
-                out["node"].append(node)
-                out["spans"].append([{"first": int(a), "last": int(b - 1)} for a, b in runs(found)])
-                one, two = pairs_of(h, rest, window) if len(rest) else (rest, rest)
-                out["starts"].append(rest.astype(np.int32))
-                out["one"].append(one)
-                out["two"].append(two)
+                if doc_id > ref:
+                    for a, b in runs(asked):
+                        for s, e in automaton.spans(h[a : b + window - 1].tolist(), window):
+                            found[a + s : a + e - window + 1] = True
+                out["id"].append(own_id)
+                out["asked"].append([{"first": a, "last": b - 1} for a, b in runs(asked)])
+                out["spans"].append([{"first": a, "last": b - 1} for a, b in runs(found)])
             span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            kinds = [pa.int64(), pa.binary(), span, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), (pa.int64(), span, span))], names=list(out))
+
+    return rows.mapInArrow(run, f"id long, asked {SPAN}, spans {SPAN}")
+
+
+def left_over(rows: DataFrame, window: int) -> DataFrame:
+    """id, doc_id, and place and hash of each window that was asked for and found in no piece. rows: id, doc_id, asked, spans, text."""
 
-    return rows.mapInArrow(run, f"doc_id long, node binary, spans {SPAN}, starts array<int>, one array<long>, two array<long>")
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            ids, docs, starts, ones, twos = [], [], [], [], []
+            for own_id, doc_id, asked, spans, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
+                h = hashed(words_of(t.as_py()), hashes)
+                open_ = np.zeros(len(h) - window + 1, bool)
+                for case, value in ((asked, True), (spans, False)):
+                    for s in case.as_py():
+                        open_[s["first"] : s["last"] + 1] = value
+                rest = np.flatnonzero(open_)
+                if len(rest):
+                    one, two = pairs_of(h, rest, window)
+                    ids.append(np.full(len(rest), own_id)), docs.append(np.full(len(rest), doc_id))
+                    starts.append(rest), ones.append(one), twos.append(two)
+            if ids:
+                columns = [np.concatenate(c) for c in (ids, docs, starts, ones, twos)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["id", "doc_id", "start", "one", "two"])
+
+    return rows.mapInArrow(run, "id long, doc_id long, start int, one long, two long")
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -215,44 +234,51 @@ def repeated(docs: DataFrame, text: str, window: int, anchor: int, block_words:
     """Every row's (doc_id, node, n_words), and the repeated window starts (spans) of the representatives that have some."""
     sketched = stash(anchors(docs.select("doc_id", F.col(text).alias("text")), window, anchor))
     long = sketched.where(F.col("n_words") >= window)
-    reps = stash(long.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("places").alias("places"), F.first("lasts").alias("lasts")).withColumn("own", F.xxhash64("node")))
-    each = reps.select("doc_id", "own", F.explode(F.arrays_zip("keys", "places", "lasts")).alias("k")).select("doc_id", "own", F.col("k.keys").alias("key"), F.array("k.places", "k.lasts").alias("place"))
-    shared = each.groupBy("key").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("high"), F.min("own").alias("p"), F.max("own").alias("q")).where("ref < high or p < q").select("key", "ref")
-    # One reference text a doc_id; other texts of that id stand with its partners.
-    names = reps.select("doc_id", "own", "node", "n_words")
-    leading = names.groupBy(F.col("doc_id").alias("ref")).agg(F.min("own").alias("lead"))
-    held = each.join(shared, "key").groupBy("ref", "doc_id", "own").agg(F.collect_list("place").alias("places"))
-    referred = stash(held.join(leading, "ref").where("doc_id > ref or own != lead").join(names, ["doc_id", "own"]).select("ref", "lead", "doc_id", "node", "n_words", "places"))
-    leads = referred.groupBy("ref", "lead").agg(F.ceil(F.sum("n_words") / block_words).alias("blocks"))
-    leads = stash(leads.join(names.select(F.col("doc_id").alias("ref"), F.col("own").alias("lead"), "node", "n_words"), ["ref", "lead"]))
-    needed = stash(referred.select("doc_id", "node", "n_words").union(leads.select("ref", "node", "n_words")).distinct())
-    fetched = of_node(docs, needed, text)
-    partners = referred.join(leads.select("ref", "blocks"), "ref").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("ref", "block", F.lit(1).alias("role"), "doc_id", "node", "places")
-    first = leads.select("ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("ref").alias("doc_id"), "node", F.lit(None).cast("array<array<int>>").alias("places"))
-    rows = first.unionByName(partners).join(fetched, "node").select("ref", "block", "role", "doc_id", "node", "places", "text")
-    streamed = stash(stream(rows.repartition("ref", "block").sortWithinPartitions("ref", "block", "role"), window, anchor, shard_words))
-    rest = streamed.select("doc_id", "node", F.explode(F.arrays_zip("starts", "one", "two")).alias("k")).select("doc_id", "node", "k.starts", "k.one", "k.two")
-    least = rest.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("one", "two", "low")
-    late = rest.join(least, ["one", "two"]).where("doc_id > low").select("node", F.struct(F.col("starts").alias("first"), F.col("starts").alias("last")).alias("span"))
-    found = streamed.select("node", F.explode("spans").alias("span")).union(late)
-    return sketched, stash(found.groupBy("node").agg(F.collect_list("span").alias("spans")))
+    one = long.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("places").alias("places"), F.first("lasts").alias("lasts"))
+    # The numbers stand in what is written, so whatever reads it again finds the same ones.
+    reps = stash(one.withColumn("id", F.monotonically_increasing_id()))
+    each = reps.select("doc_id", "id", F.explode(F.arrays_zip("keys", "places", "lasts")).alias("k")).select("doc_id", "id", F.col("k.keys").alias("key"), F.col("k.places").alias("first"), F.col("k.lasts").alias("last"))
+    shared = stash(each.groupBy("key").agg(F.min(F.struct("doc_id", "id")).alias("r"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", F.col("r.doc_id").alias("ref"), F.col("r.id").alias("ref_id")))
+    held = stash(each.join(shared, "key"))
+    # Which pieces of the reference hold a window with the anchor.
+    pieces = held.where("id = ref_id").select("key", F.explode(F.sequence(F.expr(f"greatest(first + {anchor - window}, 0) div {shard_words}"), F.expr(f"last div {shard_words}"))).alias("piece")).distinct()
+    several = stash(pieces.where("piece > 0").select("key").distinct().join(pieces, "key"))
+    apart = held.where("id != ref_id").join(several, "key", "left").withColumn("piece", F.coalesce("piece", F.lit(0).cast("long")))
+    referred = apart.groupBy("ref_id", "ref", "piece", "id", "doc_id").agg(F.collect_list(F.array("first", "last")).alias("places"))
+    referred = stash(referred.join(reps.select("id", "n_words"), "id"))
+    leads = stash(referred.groupBy("ref_id", "ref", "piece").agg(F.ceil(F.sum("n_words") / block_words).alias("blocks")))
+    needed = referred.select("id").union(leads.select("ref_id")).distinct()
+    fetched = of_node(docs, stash(reps.select("id", "doc_id", "node", "n_words").join(needed, "id")), text)
+    partners = referred.join(leads.select("ref_id", "piece", "blocks"), ["ref_id", "piece"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("ref_id", "piece", "block", F.lit(1).alias("role"), "id", "doc_id", "ref", "places")
+    first = leads.select("ref_id", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("ref_id").alias("id"), F.col("ref").alias("doc_id"), "ref", F.lit(None).cast("array<array<int>>").alias("places"))
+    rows = first.unionByName(partners).join(fetched, "id").select("ref_id", "piece", "block", "role", "id", "doc_id", "ref", "places", "text")
+    streamed = stash(stream(rows.repartition("ref_id", "piece", "block").sortWithinPartitions("ref_id", "piece", "block", "role"), window, anchor, shard_words))
+    met = streamed.groupBy("id").agg(F.flatten(F.collect_list("asked")).alias("asked"), F.flatten(F.collect_list("spans")).alias("spans"))
+    joined = met.join(reps.select("id", "doc_id"), "id").join(fetched, "id").select("id", "doc_id", "asked", "spans", "text")
+    rest = stash(left_over(joined, window))
+    least = stash(rest.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least"))
+    late = rest.join(least, ["one", "two"]).where("doc_id > least").select("id", F.struct(F.col("start").alias("first"), F.col("start").alias("last")).alias("span"))
+    found = streamed.select("id", F.explode("spans").alias("span")).union(late).groupBy("id").agg(F.collect_list("span").alias("spans"))
+    out = stash(found.join(reps.select("id", "node"), "id").select("node", "spans"))
+    discard(reps, shared, held, several, referred, leads, fetched, streamed, rest, least)
+    return sketched, out
 
 
 def of_node(docs: DataFrame, needed: DataFrame, text: str) -> DataFrame:
-    """node and text for the nodes needed, one row each; rows of an id that have other words drop out."""
+    """id and text for the rows needed (id, doc_id, node), one each; rows of a doc_id that have other words drop out."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
-    # Spark only filters by a side that has a comparison of its own; each of these texts has words.
-    got = own.join(needed.where("n_words > 0"), "doc_id").select("node", "text")
+    got = passing(own, "doc_id", needed.select("doc_id")).join(needed, "doc_id").select("id", "node", "text")
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            keep = [i for i, (node, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))) if xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) == node]
-            yield batch.take(pa.array(keep, pa.int64()))
+            keep = [i for i, (node, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))) if xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) == node]
+            yield batch.select([0, 2]).take(pa.array(keep, pa.int64()))
 
-    with early_filters(docs.sparkSession):
-        return stash(got.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.first("text").alias("text")))
+    out = stash(got.mapInArrow(run, "id long, text string").groupBy("id").agg(F.first("text").alias("text")))
+    discard(needed)
+    return out
 
 
 def deduplicate(docs: DataFrame, text: str = "text", window: int = 50, anchor: int = 12, block_words: int = 400_000, shard_words: int = 200_000) -> DataFrame:
