@@ -63,11 +63,12 @@ def discard(*stashes: DataFrame) -> None:
 FILTER_ROW = 1 << 15
 
 
-def passing(df: DataFrame, column: str, ids: DataFrame, bits_an_id: int = 16, most_bits: int = 1 << 31) -> DataFrame:
+def passing(df: DataFrame, column: str, ids: DataFrame, bits_an_id: int = 16, most_bits: int = 1 << 31, others: bool = False) -> DataFrame:
     """Rows of df whose column (a long) may be in ids (one column of longs): all that are, and few others.
 
-    A bitmap of the ids' hashes is broadcast, so what is shuffled afterwards follows the ids. Its size
-    is set by their number and bounded by most_bits (256 MB); beyond it more rows pass, none is lost.
+    With others, the rest, which are certainly not in ids. A bitmap of the ids' hashes is broadcast, so what is
+    shuffled afterwards follows the ids. Its size is set by their number and bounded by most_bits (256 MB);
+    beyond it more rows pass, none is lost.
     """
     n = ids.count()
     rows = max(1, min(-(-n * bits_an_id // FILTER_ROW), most_bits // FILTER_ROW))
@@ -75,10 +76,11 @@ def passing(df: DataFrame, column: str, ids: DataFrame, bits_an_id: int = 16, mo
     place, bucket, bits = fresh(df, "place"), fresh(df, "bucket"), fresh(df, "bits")
     own = ids.select(at(F.col(ids.columns[0]).cast("long")).alias("at"))
     table = own.groupBy(F.shiftright("at", 15).alias(bucket)).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(FILTER_ROW))).alias(bits))
-    marked = df.withColumn(place, at(F.col(column).cast("long"))).withColumn(bucket, F.shiftright(place, 15)).join(F.broadcast(table), bucket)
+    marked = df.withColumn(place, at(F.col(column).cast("long"))).withColumn(bucket, F.shiftright(place, 15)).join(F.broadcast(table), bucket, "left" if others else "inner")
     inside = F.pmod(F.col(place), F.lit(FILTER_ROW)).cast("int")
     byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(inside, 3) + 1, 1)), 16, 10).cast("int")
-    return marked.where(F.getbit(byte, F.pmod(inside, F.lit(8))) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+    may = F.coalesce(F.getbit(byte, F.pmod(inside, F.lit(8))) == 1, F.lit(False))
+    return marked.where(~may if others else may).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -234,6 +235,52 @@ def test_archives(spark, tmp_path):
     assert keys == sorted(keys)
 
 
+def test_members_can_be_sought_and_read_by_others(spark, tmp_path):
+    import gzip
+
+    rng = random.Random(12)
+    noise = "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(3000))
+    rows = [(i, f"http://h{i % 3}.example/{i}", noise[: rng.randrange(3000)] + str(i % 7)) for i in range(40)] + [(99, "http://big.example", "long " * 4_000_000), (99, "http://big.example", "long " * 4_000_000), (3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.capture_history(pages.withColumn("captured_at", warc.F.lit("no time")), f"file://{tmp_path}/warc", few=0).collect()
+    assert sorted(r["page_id"] for r in index) == sorted(r[0] for r in rows)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "warc").glob("*/part-*")}
+    assert len(files) > 1
+    for data in files.values():
+        whole = gzip.decompress(data)
+        assert sum(1 for _ in warc.parse(whole)) == sum(sum(1 for _ in warc.parse(m)) for _, m in warc.unpacked(data))
+    for r in index:
+        unpack = zlib.decompressobj(31)
+        headers, block, at = next(warc.parse(unpack.decompress(files[r["archive"]][r["offset"] :])))
+        assert at == 0 and unpack.eof and int(headers["X-Page-ID"]) == r["page_id"] and headers["WARC-Type"] == r["record_type"]
+        if r["record_type"] == "response":
+            assert base64.b32encode(hashlib.sha1(block).digest()).decode() == r["payload_digest"]
+    assert any(len(m) > 1 << 24 for d in files.values() for _, m in warc.unpacked(d))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(kind, url, block, extra=""):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Date: 2021-03-04T05:06:07Z\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    records = [record("warcinfo", "", b"software: x"), record("response", "https://www.B.example:443/x?y#f", b"\xff\x00 bytes"), record("request", "https://b.example", b"GET"), record("resource", "http://a.example/", b"")]
+    (tmp_path / "two.warc.gz").write_bytes(b"".join(zlib.compress(r, 9, 31) for r in records))
+    (tmp_path / "one.warc.gz").write_bytes(zlib.compress(b"".join(records), 9, 31))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = warc.merge_index(warc.read_runs(warc.read_archives(spark, f"file://{tmp_path}"))).collect()
+    assert [r["url_key"] for r in got] == ["example,a)/"] * 3 + ["example,b)/x?y"] * 3
+    assert {r["payload_bytes"] for r in got[3:]} == {8} and all(r["page_id"] is None and r["record_type"] == "response" for r in got)
+    (tmp_path / "cut.warc.gz").write_bytes(zlib.compress(records[1], 9, 31)[:-9])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_runs(warc.read_archives(spark, f"file://{tmp_path}")).collect()
+
+
+def test_url_keys_agree(spark):
+    urls = ["http://www.B.example/x#f", "https://www2.a.example:443/?q=1", "ftp://h", " x.example/Ü ", "", "a?b/c", "HTTP://A.B.C:80"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", warc.url_key(warc.F.col("url")).alias("k")).collect()
+    assert all(r["k"] == warc.key_of(r["url"]) for r in rows)
+
+
 def test_archives_without_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.capture_history(pages, f"file://{tmp_path}/warc").count() == 0
