@@ -5,19 +5,21 @@ ends: characters in words, symbols of `#*$%&|<>`, lines that equal an earlier li
 three-word windows that occur twice or more. They give the base verdict.
 
 The method's verdict compares two histograms of a text with references of each language, made
-from all documents: classes of characters, and common words (the `common` most frequent words of
-at most six characters in each language, and all other words as one bin). The Jensen-Shannon
+from all documents: classes of characters (ASCII ones by kind, all others by script), and common words (the
+`common` most frequent words of each language in lower case, and all other words as one bin). The Jensen-Shannon
 distance (base 2, square root) to the nearest language must not exceed `char_limit` and
 `word_limit`; a text with fewer than `min_chars` or `min_words` is too short for the one or
 the other and is not judged by it.
 
-Where a language's name is null, its rows make a reference of their own. References of at most
-`languages` languages, the largest, are used, so the literals in the plan stay bounded.
+Every language of at least `least_documents` documents gives a reference (rows whose language is null make one of
+their own); a text of a language without one is not judged by the method. References and listed words are
+literals of the plan, which suits some hundred languages.
 Windows are compared as 64-bit hashes within one text.
 
 Defined cases: null and empty texts have no words and fail the base rule; without any language
-reference the method keeps. Long texts are worked on whole, inside their row. Input columns
-other than doc_id, text and lang are not returned.
+reference the method keeps; an empty table gives no rows. Repeated rows count each in the references and get equal
+verdicts. Of words equally frequent the first in byte order is listed. Long texts are worked on whole, inside
+their row. Input columns other than doc_id, text and lang are not read or returned, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -28,15 +30,17 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash, table
+from tessera.llm.common import discard, stash, table
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 POINTS = ".,;:!?'\"()-"
-#: Characters of each class; lower-case letters come first, what is in none is the last class.
+#: ASCII characters of each class, lower-case letters first.
 CLASSES = (string.ascii_lowercase, string.ascii_uppercase, string.digits, BLANKS, SYMBOLS, POINTS)
+#: Classes of what is left: letters by script, other letters, marks and digits; what is in none is the last class.
+SCRIPTS = (r"\p{IsLatin}", r"\p{IsCyrillic}", r"\p{IsGreek}", r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", r"\p{L}", r"[\p{M}\p{N}]")
+ALL_CLASSES = len(CLASSES) + len(SCRIPTS) + 1
 SPLIT = r"[\x20\x09-\x0D]+"
-COMMON_LENGTH = 6
 
 
 def words(text: Column) -> Column:
@@ -46,15 +50,20 @@ def words(text: Column) -> Column:
 def class_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_chars_ and classes, the number of characters in each class.
 
-    Lower-case letters are taken out first, so the other classes are counted in what is left.
+    Lower-case letters are taken out first, so the other classes are counted in what is left, and
+    scripts in what no ASCII class holds.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("rest_", F.translate(t, CLASSES[0], "")).withColumn("n_chars_", F.length(t))
-    left = F.length("rest_")
-    others = [left - F.length(F.translate("rest_", c, "")) for c in CLASSES[1:]]
-    df = df.withColumn("others_", F.array(*others))
-    last = left - F.aggregate("others_", F.lit(0), lambda a, x: a + x)
-    return df.withColumn("classes", F.concat(F.array(F.col("n_chars_") - left), F.col("others_"), F.array(last))).drop("rest_", "others_")
+    rest = F.length("rest_")
+    df = df.withColumn("ascii_", F.array(F.col("n_chars_") - rest, *[rest - F.length(F.translate("rest_", c, "")) for c in CLASSES[1:]]))
+    df = df.withColumn("left_", F.array(F.translate("rest_", "".join(CLASSES[1:]), "")))
+    for pattern in SCRIPTS:
+        last = F.element_at("left_", -1)
+        df = df.withColumn("left_", F.concat("left_", F.array(F.when(last == "", "").otherwise(F.regexp_replace(last, pattern, "")))))
+    sizes = F.transform("left_", lambda x: F.length(x))
+    df = df.withColumn("scripts_", F.zip_with(sizes, F.slice(F.concat(sizes, F.array(F.lit(0))), 2, len(SCRIPTS) + 1), lambda a, b: a - b))
+    return df.withColumn("classes", F.concat("ascii_", "scripts_")).drop("rest_", "ascii_", "left_", "scripts_")
 
 
 def repeated_words(df: DataFrame, array: str = "words_") -> DataFrame:
@@ -72,35 +81,34 @@ def repeated_words(df: DataFrame, array: str = "words_") -> DataFrame:
 
 
 class References:
-    """For each language its class shares and the shares of the listed words, the last of these for all others."""
+    """For each language its name, class shares and the shares of the listed words, the last of these for all others."""
 
-    def __init__(self, listed: list[str], rows: list[tuple[list[float], list[float]]]):
-        self.listed, self.rows = listed, rows
+    def __init__(self, names: list[str], listed: list[str], rows: list[tuple[list[float], list[float]]]):
+        self.names, self.listed, self.rows = names, listed, rows
 
 
-def references(docs: DataFrame, common: int = 12, languages: int = 32) -> References:
-    """Counted over all documents (lang, text); one row a language and task is shuffled for classes, one a language and short word and task for words."""
+def references(docs: DataFrame, common: int = 12, least_documents: int = 20) -> References:
+    """Counted over all documents (lang, text); one row a language and task is shuffled for classes, one a language, word and task for words."""
     lang = F.coalesce(F.col("lang"), F.lit("")).alias("lang")
-    classes = class_counts(docs.select(lang, "text")).select("lang", *[F.col("classes")[i].alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    sums = classes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    chosen = sums.orderBy(F.desc("n"), "lang").limit(languages).collect()
-    chosen = [r for r in chosen if sum(r[f"c{i}"] for i in range(len(CLASSES) + 1))]
+    each_class = [F.col("classes")[i].alias(f"c{i}") for i in range(ALL_CLASSES)]
+    sums = class_counts(docs.select(lang, "text")).select("lang", *each_class).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(ALL_CLASSES)])
+    chars = sum((F.col(f"c{i}") for i in range(1, ALL_CLASSES)), F.col("c0"))
+    chosen = sums.withColumn("chars", chars).where((F.col("chars") > 0) & (F.col("n") >= least_documents)).orderBy("lang").collect()
     if not chosen:
-        return References([], [])
-    each = docs.where(F.col("text").isNotNull()).select(lang, F.explode(F.split("text", SPLIT)).alias("w")).where(F.col("w") != "")
-    short = F.when(F.length("w") <= COMMON_LENGTH, F.lower("w")).otherwise(F.lit(""))
-    counted = stash(each.select("lang", short.alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("lang").isin([r["lang"] for r in chosen])))
+        return References([], [], [])
+    names = [r["lang"] for r in chosen]
+    each = docs.where(F.col("text").isNotNull()).select(lang, F.explode(F.split(F.lower("text"), SPLIT)).alias("w")).where(F.col("w") != "")
+    counted = stash(each.where(F.col("lang").isin(names)).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
-    top = counted.where("w != ''").withColumn("r", F.row_number().over(order)).where(F.col("r") <= common)
-    listed = sorted({r["w"] for r in top.select("w").collect()})
+    listed = sorted({r["w"] for r in counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= common).select("w").collect()})
     total = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     count = {(r["lang"], r["w"]): r["n"] for r in counted.where(F.col("w").isin(listed)).collect()}
+    discard(counted)
     rows = []
     for r in chosen:
-        n = sum(r[f"c{i}"] for i in range(len(CLASSES) + 1))
         shares = [count.get((r["lang"], w), 0) / max(1, total.get(r["lang"], 0)) for w in listed]
-        rows.append(([r[f"c{i}"] / n for i in range(len(CLASSES) + 1)], [*shares, max(0.0, 1 - sum(shares))]))
-    return References(listed, rows)
+        rows.append(([r[f"c{i}"] / r["chars"] for i in range(ALL_CLASSES)], [*shares, max(0.0, 1 - sum(shares))]))
+    return References(names, listed, rows)
 
 
 def divergence(counts: Column, n: Column, reference: list[float]) -> Column:
@@ -117,8 +125,9 @@ def divergence(counts: Column, n: Column, reference: list[float]) -> Column:
 
 
 def judge(docs: DataFrame, refs: References, char_limit: float = 0.29, word_limit: float = 0.36, min_chars: int = 200, min_words: int = 60) -> DataFrame:
-    """docs (doc_id, text) with the base figures, char_distance, word_distance and the verdicts."""
-    df = docs.select("doc_id", "text").withColumn("words_", words(F.col("text")))
+    """docs (doc_id, text, lang) with the base figures, char_distance, word_distance and the verdicts."""
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    df = docs.select("doc_id", "text", lang.isin(refs.names).alias("judged_")).withColumn("words_", words(F.col("text")))
     df = class_counts(df)
     df = df.withColumn("n_words", F.size("words_").cast("long"))
     df = df.withColumn("word_chars", (F.col("n_chars_") - F.col("classes")[CLASSES.index(BLANKS)]).cast("long"))
@@ -128,15 +137,14 @@ def judge(docs: DataFrame, refs: References, char_limit: float = 0.29, word_limi
     df = repeated_words(df)
     figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     if refs.rows:
-        short = F.transform(F.filter("words_", lambda w: F.length(w) <= COMMON_LENGTH), lambda w: F.lower(w))
-        df = df.withColumn("common_", F.filter(short, lambda w: w.isin(refs.listed)))
+        df = df.withColumn("common_", F.filter(words(F.lower("text")), lambda w: w.isin(refs.listed)))
         df = df.withColumn("joined_", F.concat(F.lit(" "), F.array_join("common_", "  "), F.lit(" ")))
         whole = F.length("joined_")
         counts = [((whole - F.length(F.replace(F.col("joined_"), F.lit(f" {w} "), F.lit("")))) / len(f" {w} ")) for w in refs.listed]
         df = df.withColumn("counts_", F.array(*counts, (F.size("words_") - F.size("common_")).cast("double")))
         chars = F.transform("classes", lambda x: x.cast("double"))
-        df = df.withColumn("char_distance", F.when(F.col("n_chars_") >= min_chars, nearest([divergence(chars, F.col("n_chars_"), c) for c, _ in refs.rows])))
-        df = df.withColumn("word_distance", F.when(F.col("n_words") >= min_words, nearest([divergence(F.col("counts_"), F.col("n_words"), w) for _, w in refs.rows])))
+        df = df.withColumn("char_distance", F.when(F.col("judged_") & (F.col("n_chars_") >= min_chars), nearest([divergence(chars, F.col("n_chars_"), c) for c, _ in refs.rows])))
+        df = df.withColumn("word_distance", F.when(F.col("judged_") & (F.col("n_words") >= min_words), nearest([divergence(F.col("counts_"), F.col("n_words"), w) for _, w in refs.rows])))
     else:
         df = df.withColumn("char_distance", F.lit(None).cast("double")).withColumn("word_distance", F.lit(None).cast("double"))
     bad = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -159,16 +167,23 @@ ORACLE = r"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 c AS (
   SELECT *, length(t) AS n, [length(regexp_replace(t, '[^a-z]', '', 'g')), length(regexp_replace(t, '[^A-Z]', '', 'g')), length(regexp_replace(t, '[^0-9]', '', 'g')),
-    length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), length(regexp_replace(t, '[^.,;:!?''"()-]', '', 'g'))] AS six FROM w),
-d AS (SELECT *, list_append(six, n - list_sum(six)) AS classes FROM c),
-langs AS (SELECT lang, count(*) AS n FROM d GROUP BY lang HAVING sum(n) > 0 ORDER BY count(*) DESC, lang LIMIT 32),
-ref_chars AS (SELECT lang, i, sum(classes[i])::DOUBLE / sum(n)::DOUBLE AS q FROM d, range(1, 8) r(i) WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, i),
+    length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), length(regexp_replace(t, '[^.,;:!?''"()-]', '', 'g'))] AS six,
+    regexp_replace(t, '[a-zA-Z0-9\x20\x09-\x0D#*$%&|<>.,;:!?''"()-]', '', 'g') AS l0 FROM w),
+c1 AS (SELECT *, regexp_replace(l0, '\p{Latin}', '', 'g') AS l1 FROM c),
+c2 AS (SELECT *, regexp_replace(l1, '\p{Cyrillic}', '', 'g') AS l2 FROM c1),
+c3 AS (SELECT *, regexp_replace(l2, '\p{Greek}', '', 'g') AS l3 FROM c2),
+c4 AS (SELECT *, regexp_replace(l3, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]', '', 'g') AS l4 FROM c3),
+c5 AS (SELECT *, regexp_replace(l4, '\p{L}', '', 'g') AS l5 FROM c4),
+c6 AS (SELECT *, regexp_replace(l5, '[\p{M}\p{N}]', '', 'g') AS l6 FROM c5),
+d AS (SELECT *, list_concat(six, [length(l0) - length(l1), length(l1) - length(l2), length(l2) - length(l3), length(l3) - length(l4), length(l4) - length(l5), length(l5) - length(l6), length(l6)]) AS classes FROM c6),
+langs AS (SELECT lang FROM d GROUP BY lang HAVING sum(n) > 0 AND count(*) >= 20),
+judged AS (SELECT doc_id FROM d WHERE lang IN (SELECT lang FROM langs)),
+ref_chars AS (SELECT lang, i, sum(classes[i])::DOUBLE / sum(n)::DOUBLE AS q FROM d, range(1, 14) r(i) WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, i),
 js_chars AS (
   SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / (2 * ln(2)), 0)) AS js
   FROM (SELECT d.doc_id, r.lang, d.classes[r.i] / d.n::DOUBLE AS p, r.q FROM d, ref_chars r WHERE d.n >= 200) GROUP BY doc_id, lang),
-far_chars AS (SELECT doc_id FROM js_chars GROUP BY doc_id HAVING min(js) > 0.29),
-each AS (SELECT doc_id, lang, unnest(w) AS x FROM w),
-short AS (SELECT doc_id, lang, CASE WHEN length(x) <= 6 THEN lower(x) ELSE '' END AS x FROM each),
+far_chars AS (SELECT doc_id FROM js_chars WHERE doc_id IN (SELECT doc_id FROM judged) GROUP BY doc_id HAVING min(js) > 0.29),
+short AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS x FROM w),
 counted AS (SELECT lang, x, count(*) AS n FROM short WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, x),
 top AS (SELECT DISTINCT x FROM (SELECT x, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM counted WHERE x <> '') WHERE r <= 12),
 total AS (SELECT lang, sum(n)::DOUBLE AS n FROM counted GROUP BY lang),
@@ -181,7 +196,7 @@ doc_words AS (
 js_words AS (
   SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / (2 * ln(2)), 0)) AS js
   FROM doc_words JOIN ref_words USING (x) GROUP BY doc_id, lang),
-far_words AS (SELECT doc_id FROM js_words GROUP BY doc_id HAVING min(js) > 0.36),
+far_words AS (SELECT doc_id FROM js_words WHERE doc_id IN (SELECT doc_id FROM judged) GROUP BY doc_id HAVING min(js) > 0.36),
 wins AS (SELECT doc_id, s, [w[s], w[s + 1], w[s + 2]] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) > 2)),
 twice AS (SELECT doc_id, v FROM wins GROUP BY doc_id, v HAVING count(*) > 1),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 3)) AS p FROM wins JOIN twice USING (doc_id, v)) GROUP BY doc_id),

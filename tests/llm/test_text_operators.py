@@ -182,7 +182,8 @@ def test_quality_rules_equal_brute_force(spark):
     texts = [None, "", " \n\n", "a b c a b c a", "x x x x", "l1\nl1\n \nl2\nl1", "# $5 | é ü\x0b tab\tend", " ".join(words_of_length(rng, 20_000, 30)), "\n".join(["same line here"] * 60)]
     texts += [" ".join(words_of_length(rng, n, v)) for n, v in ((49, 900), (50, 900), (300, 12), (120, 60))]
     docs = spark.createDataFrame([(i, t, ["en", "de", None][i % 3], "e") for i, t in enumerate(texts)], "doc_id long, text string, lang string, words_ string")
-    refs = quality_rules.references(docs)
+    refs = quality_rules.references(docs, least_documents=4)
+    assert refs.names == ["", "de", "en"]
     got = {r["doc_id"]: r for r in quality_rules.judge(docs, refs).collect()}
     for i, t in enumerate(texts):
         t = t or ""
@@ -198,7 +199,7 @@ def test_quality_rules_equal_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
         assert (r["char_distance"] is None) == (len(t) < 200) and (r["word_distance"] is None) == (len(w) < 60)
         if r["word_distance"] is not None:
-            counts = [sum(x.lower() == v for x in w if len(x) <= 6) for v in refs.listed]
+            counts = [sum(x == v for x in t.lower().split()) for v in refs.listed]
             p = [x / len(w) for x in [*counts, len(w) - sum(counts)]]
             best = min(math.sqrt(max(0.0, js(p, q))) for _, q in refs.rows)
             assert r["word_distance"] == pytest.approx(best, abs=1e-9)
@@ -209,6 +210,34 @@ def js(p, q):
     return (half(p, q) + half(q, p)) / 2
 
 
+SAMPLES = ["aAé0 .#–", "Война и мир", "Ὅμηρος λόγος", "日本語カナ한글", "שלום ٣٤ नमस्ते", "e\u0301 ½ ☃ \U0001f600", ""]
+
+
+def test_character_classes(spark):
+    import regex
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(SAMPLES)] + [(99, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["classes"] for r in quality_rules.class_counts(docs).collect()}
+    scripts = [regex.compile(x) for x in (r"\p{Latin}", r"\p{Cyrillic}", r"\p{Greek}", r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", r"\p{L}", r"[\p{M}\p{N}]")]
+    for i, t in enumerate(SAMPLES):
+        want = [0] * quality_rules.ALL_CLASSES
+        for c in t:
+            own = next((j for j, k in enumerate(quality_rules.CLASSES) if c in k), None)
+            want[own if own is not None else 6 + next((j for j, p in enumerate(scripts) if p.match(c)), 6)] += 1
+        assert got[i] == want, t
+    assert sum(got[99]) == 0
+
+
+def test_small_languages_are_not_judged(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(words_of_length(rng, 80, 20)), "en") for i in range(30)] + [(100 + i, " ".join(f"слово{rng.randrange(900)}" for _ in range(80)), "ru") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, quality_rules.references(docs)).collect()}
+    assert all(got[100 + i]["char_distance"] is None and got[100 + i]["kept"] != got[100 + i]["base_failed"] for i in range(3))
+    all_of_them = quality_rules.references(docs, least_documents=1)
+    assert all_of_them.names == ["en", "ru"] and all(r["char_distance"] is not None for r in quality_rules.judge(docs, all_of_them).collect())
+
+
 def test_quality_rules_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     refs = quality_rules.references(empty)
