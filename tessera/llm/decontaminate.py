@@ -9,14 +9,18 @@ probed for prefix tokens only; the token's place in its window gives the one sta
 window can have (the positional bound), which must lie in the document with the window's
 length (the length bound), and then the words themselves are compared.
 
-Items go through in blocks of at most `block_chars` characters (default 8 million), so what
+Items go through in blocks of about `block_chars` characters (default 8 million), so what
 reaches the driver and the tasks is bounded: a second block is probed on what the first
-returned. Documents are never shuffled. Rarity is counted over all documents.
+returned, and after every `blocks_a_pass` blocks that is written down, so a task holds no more of them at
+once. Items longer than a quarter of a block are cut into pieces that overlap by all but one of a window's
+words. Rarity is counted over all documents, by one scan of the input a block. Documents are never
+shuffled. Candidate windows are verified some ten thousand at a time.
 
 Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lower-cased. Defined
 cases: null and empty texts have no words and no hits; null and empty items no windows; items of
-one id count as one; an item without id counts as `null`; empty tables give no hits. Columns
-named n_words, hit_spans, item_ids or n_hit are replaced.
+one id count as one; an item without id counts as `null`; empty tables give no hits. Equally rare
+shingles are taken by the smallest key. Repeated rows get equal results; texts are worked on whole. Columns
+named n_words, hit_spans, item_ids or n_hit are replaced, others passed on.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_columns, table
+from tessera.llm.common import discard, map_columns, stash, table
 
 #: Bytes of words, A-Z in lower case; every other byte becomes a blank.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BITMAP = 1 << 22
+#: Candidate windows that are verified at once.
+CANDIDATES = 50_000
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -143,9 +149,8 @@ FIELDS = [
 ]
 
 
-def probe_block(docs: DataFrame, items: Items, text: str, again: bool) -> DataFrame:
-    """docs with the hits of one block of items, joined to those of the blocks before if again."""
-    n_of = rarity(docs, items, text)
+def probe_block(docs: DataFrame, items: Items, n_of: np.ndarray, text: str, again: bool) -> DataFrame:
+    """docs with the hits of one block of items, joined to those of the blocks before if again. n_of: rarity()."""
     # Each window's prefix: its rarest shingle, the smallest key among equals.
     prefix: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for w, keys in enumerate(items.window_keys):
@@ -175,11 +180,14 @@ def probe_block(docs: DataFrame, items: Items, text: str, again: bool) -> DataFr
             starts, found = [], []
             for width, (probe, first, window, offset) in probes.items():
                 pos, place = probe.find(mix(ids, width))
-                for i in range(0, len(pos), 50_000):
-                    p, k = pos[i : i + 50_000], place[i : i + 50_000]
-                    n = first[k + 1] - first[k]
-                    entry = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    start, w = np.repeat(p, n) - offset[entry], window[entry]
+                n = first[place + 1] - first[place]
+                until = np.cumsum(n)
+                for low in range(0, int(until[-1]) if len(until) else 0, CANDIDATES):
+                    # The candidates low, low + 1 and so on of all positions' windows in a row.
+                    row = np.arange(low, min(low + CANDIDATES, int(until[-1])))
+                    i = np.searchsorted(until, row, "right")
+                    entry = first[place[i]] + row - (until[i] - n[i])
+                    start, w = pos[i] - offset[entry], window[entry]
                     inside = (start >= 0) & (start + sizes_of[w] <= len(ids))
                     start, w = start[inside], w[inside]
                     reach = np.arange(longest)
@@ -221,23 +229,48 @@ def probe_block(docs: DataFrame, items: Items, text: str, again: bool) -> DataFr
     return map_columns(docs, make, FIELDS)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, shingle: int = 5, block_chars: int = 8_000_000) -> DataFrame:
+def pieces(items: DataFrame, window: int, chars: int) -> DataFrame:
+    """items (item, text) with those longer than chars cut into pieces that have all their windows."""
+
+    def run(batches):
+        for batch in batches:
+            names, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(text.as_py()) if len(text.as_py()) > chars else []
+                if len(words) <= window:
+                    names.append(name), texts.append(text.as_py())
+                    continue
+                size = max(1, len(words) * chars // len(text.as_py()))
+                for a in range(0, len(words) - window + 1, size):
+                    names.append(name), texts.append(b" ".join(words[a : a + size + window - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
+
+    return items.mapInArrow(run, "item string, text string")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, shingle: int = 5, block_chars: int = 8_000_000, blocks_a_pass: int = 4) -> DataFrame:
     """docs with n_words, hit_spans (first and last word of each run of hit words), item_ids (sorted) and n_hit."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").distinct()
+    named = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").distinct()
+    items = stash(pieces(named, window, max(1, block_chars // 4)))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-chars // block_chars)
-    out, again = docs, False
-    for b in range(n_blocks):
+    # Blocks are drawn by hash; twice as many as fill them exactly keep each within its size.
+    n_blocks = 1 if chars <= block_chars else -(-2 * chars // block_chars)
+    out, probed = docs, 0
+    for b in range(n_blocks if chars else 0):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).collect()
         block = Items([(r["item"], r["text"]) for r in rows], window, shingle)
         if len(block):
-            out, again = probe_block(out, block, text, again), True
-    if not again:  # no windows at all: count the words
+            if probed and not probed % blocks_a_pass:
+                out = stash(out)
+            out = probe_block(out, block, rarity(docs, block, text), text, probed > 0)
+            probed += 1
+    discard(items)
+    if not probed:  # no windows at all: count the words
         empty = Items([], window, shingle)
         empty.windows, empty.holders, empty.widths = [(-1,)], [np.zeros(0, np.int64)], [1]
         empty.window_keys = [np.array([1], np.uint64)]
         empty.keys = empty.window_keys[0]
-        out = probe_block(docs, empty, text, False)
+        out = probe_block(docs, empty, np.zeros(1, np.int64), text, False)
     return out
 
 

@@ -49,11 +49,31 @@ def test_decontamination(spark, block):
     items = [(1, "Alpha beta gamma"), (2, None), (3, "!!"), (10, " ".join(words_of_length(rng, 14))), (9, " ".join(words_of_length(rng, 12))), (9, "éa b"), (None, "solo")]
     long = words_of_length(rng, 5000)
     docs = [(1, None), (2, ""), (3, "x alpha, BETA; gamma-delta ÉA éa B solo"), (4, " ".join(long[:900] + items[3][1].split() + long[900:] + items[4][1].split()[:11])), (4, "solo"), (4, "solo"), (None, "SOLO solo")]
-    got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_chars=block)
+    got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_chars=block, blocks_a_pass=2)
     assert {"node", "key", "text"} <= set(got.columns)
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got.collect()), key=repr) == brute_hits(docs, items)
 
 
+def test_pieces_have_all_windows(spark):
+    rng = random.Random(7)
+    text = " ".join(words_of_length(rng, 300, 1000))
+    items = spark.createDataFrame([("a", text), ("b", "x y"), ("c", "A" * 500), ("d", "")], "item string, text string")
+    got = [(r["item"], r["text"]) for r in decontaminate.pieces(items, 10, 200).collect()]
+    windows = lambda t: {tuple(t.split()[i : i + 10]) for i in range(len(t.split()) - 9)}
+    own = [t for i, t in got if i == "a"]
+    assert len(own) > 5 and set().union(*map(windows, own)) == windows(text) and all(len(t.split()) >= 10 and len(t) < 400 for t in own)
+    assert sorted(x for x in got if x[0] != "a") == [("b", "x y"), ("c", "A" * 500), ("d", "")]
+
+
+def test_many_windows_of_one_prefix(spark, monkeypatch):
+    """Candidates beyond one verification: every window begins alike, and documents hold the beginning over and over."""
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 7)
+    items = [(i, "p q r s t " + " ".join(f"e{i}x{j}" for j in range(5))) for i in range(30)]
+    docs = [(1, "p q r s t " * 40 + items[3][1] + " " + items[29][1]), (2, "p q r s t e1x0")]
+    got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got.collect()), key=repr) == brute_hits(docs, items)
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.decontaminate(frame(spark, [(1, "a b"), (2, None)]), none).collect()
