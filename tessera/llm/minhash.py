@@ -109,7 +109,7 @@ def sketch(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
 
 
 def compare(pairs: DataFrame, texts: DataFrame, similarity: int, lists: bool = False, block_shingles: int = 50_000) -> DataFrame:
-    """x, y, k and m (their sizes), linked, and the lists of differences, for the pairs (x, y).
+    """A stash of x, y, k and m (their sizes), linked, and the lists of differences, for the pairs (x, y).
 
     linked: 100 * |both| >= similarity * |either|; without lists only linked pairs are returned.
     lists: extra are the shingles of y that x has not, missing the places in x's sorted set of
@@ -117,7 +117,8 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity: int, lists: bool = F
     partners' sizes call for.
     """
     sizes = pairs.join(texts.select(F.col("node").alias("y"), "n"), "y")
-    blocks = sizes.groupBy("x").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
+    # Written down, so that the join with a leader of many partners can be split.
+    blocks = stash(sizes.groupBy("x").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks")))
     dealt = pairs.join(blocks, "x").withColumn("block", F.pmod(F.xxhash64("y"), F.col("blocks")))
     partners = dealt.select("x", "block", F.col("y").alias("node")).join(texts.select("node", "text"), "node").select("x", "block", F.lit(1).alias("role"), "node", "text")
     leaders = blocks.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -147,7 +148,9 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity: int, lists: bool = F
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    return rows.mapInArrow(run, "x long, y long, k long, m long, linked boolean, extra array<long>, missing array<int>")
+    out = stash(rows.mapInArrow(run, "x long, y long, k long, m long, linked boolean, extra array<long>, missing array<int>"))
+    discard(blocks)
+    return out
 
 
 class Index:
@@ -171,16 +174,16 @@ ROW_COST = 2000
 
 
 def pivot_links(met: DataFrame, labels: DataFrame, similarity: int, block: int = 200_000, stretch: int = 1_000_000) -> DataFrame:
-    """x and y of links that join all components that similar classes of one pivot are in.
+    """A stash of x and y of links that join all components that similar classes of one pivot are in.
 
     met has the pivot x, the class y, k, m, extra and missing. Classes outside the pivot's component
     form blocks of about `block` list entries; every class of the pivot meets each of them, dealt in
     stretches of about `stretch` entries. A class counts as `ROW_COST` entries besides its own.
     """
-    named = met.join(labels.select(F.col("node").alias("y"), "label"), "y").join(labels.select(F.col("node").alias("x"), F.col("label").alias("own")), "x")
+    named = stash(met.join(labels.select(F.col("node").alias("y"), "label"), "y").join(labels.select(F.col("node").alias("x"), F.col("label").alias("own")), "x"))
     size = F.size("extra") + F.size("missing") + ROW_COST
     outside = F.when(F.col("label") != F.col("own"), size)
-    shape = named.groupBy("x").agg(F.ceil(F.coalesce(F.sum(outside), F.lit(0)) / block).alias("blocks"), F.ceil(F.sum(size) / stretch).alias("stretches")).where("blocks > 0")
+    shape = stash(named.groupBy("x").agg(F.ceil(F.coalesce(F.sum(outside), F.lit(0)) / block).alias("blocks"), F.ceil(F.sum(size) / stretch).alias("stretches")).where("blocks > 0"))
     dealt = named.join(shape, "x")
     columns = ["x", "block", "stretch", "role", "y", "label", "k", "m", "extra", "missing"]
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
@@ -220,7 +223,9 @@ def pivot_links(met: DataFrame, labels: DataFrame, similarity: int, block: int =
                         ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    return rows.mapInArrow(run, "x long, y long")
+    out = stash(rows.mapInArrow(run, "x long, y long"))
+    discard(named, shape)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,7 +266,9 @@ def link(classes: DataFrame, docs: DataFrame, text: str, similarity: int) -> Dat
         led = now.join(leader, "value").where("label != leader.label").where(one_key)
         pairs = stash(led.groupBy("node").agg(F.min("leader.rank").alias("rank")).select(F.col("rank.node").alias("x"), F.col("node").alias("y")))
         if not pairs.isEmpty():
-            labels = contract(labels, compare(pairs, texts, similarity).select("x", "y"))
+            linked = compare(pairs, texts, similarity)
+            labels = contract(labels, linked.select("x", "y"))
+            discard(linked)
         discard(pairs)
     # What is still mixed is dealt to the tables by their keys, and is compared with their pivots there.
     now = rows.join(labels, "node").select("value", "node", "label", "weight", "b")
@@ -273,9 +280,9 @@ def link(classes: DataFrame, docs: DataFrame, text: str, similarity: int) -> Dat
     pairs = stash(tensored.join(pivots, "key").where("node != pivot").groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("tables")).select("x", "y"))
     discard(tensored)
     if not pairs.isEmpty():
-        met = stash(compare(pairs, texts, similarity, lists=True))
+        met = compare(pairs, texts, similarity, lists=True)
         labels = contract(labels, met.where("linked").select("x", "y"))
-        more = stash(pivot_links(met, labels, similarity))
+        more = pivot_links(met, labels, similarity)
         labels = contract(labels, more)
         discard(met, more)
     discard(pairs, texts)
