@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.sources.scratch import written
 
 
 def edges_canonical(edges: DataFrame) -> DataFrame:
@@ -32,9 +33,10 @@ def triangles(edges: DataFrame, by_degree: bool = True) -> DataFrame:
     """a < b < c of each triangle, once.
 
     by_degree: each edge points from the end with the smaller (degree, id), so no vertex is the
-    apex of more than about m wedges, whatever its degree; else from the smaller id.
+    apex of more than about m wedges, whatever its degree; else from the smaller id. The distinct
+    edges are written down, as they are read again and again.
     """
-    e = edges_canonical(edges)
+    e = written(edges_canonical(edges))
     if by_degree:
         degree = e.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d"))
         e2 = e.join(degree.select(F.col("x").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("x").alias("v"), F.col("d").alias("dv")), "v")

@@ -23,11 +23,11 @@ def chain_join(r: DataFrame, s: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def chain_join_count(r: DataFrame, s: DataFrame, t: DataFrame) -> DataFrame:
-    """One row (n): the size of the chain, from the keys' frequencies, without listing it; decimal, so it can't overflow."""
+    """One row (n): the size of the chain, from the keys' frequencies, without listing it; up to 38 digits, beyond which it raises."""
     nr, nt = r.groupBy("B").agg(F.count(F.lit(1)).alias("nr")), t.groupBy("C").agg(F.count(F.lit(1)).alias("nt"))
     ns = s.groupBy("B", "C").agg(F.count(F.lit(1)).alias("ns"))
-    wide = lambda c: F.col(c).cast("decimal(12,0)")
-    product = (wide("nr") * wide("ns") * wide("nt")).cast("decimal(38,0)")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    product = (wide("nr") * wide("ns")).cast("decimal(38,0)") * wide("nt")
     return ns.join(nr, "B").join(nt, "C").agg(F.coalesce(F.sum(product), F.lit(0)).cast("decimal(38,0)").alias("n"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.spatial import BOUNDS, Grid, closed_cells, crosses, first_col, first_row, home_cell, overlaps, quadrant_cells, rect, split_cells
+from tessera.sources.scratch import written
 
 RELATIONS = ("p", "q", "r", "s")
 IDS = [f"{x}_id" for x in RELATIONS]
@@ -51,7 +52,8 @@ def all_replicate(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Gri
     """The chain in one round: every rectangle goes to all cells of its first quadrant.
 
     A chain is taken in the cell of its members' largest home row and home column, to which each
-    of them is sent.
+    of them is sent. The last cell gets every rectangle, so this is for few rectangles, such as those
+    that controlled replication marks; chain_join is the plan for many.
     """
     parts = []
     for df, x in zip((p, q, r, s), RELATIONS):
@@ -75,38 +77,46 @@ def inside_pairs(q: DataFrame, r: DataFrame, g: Grid) -> DataFrame:
     return pairs.withColumn("inside", inside)
 
 
-def early_output(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid) -> DataFrame:
-    """Chains whose q and r lie in one cell: p and s only need to touch that cell."""
-    pairs = inside_pairs(q, r, g).where("inside").withColumn("cell", home_cell(rect("q_"), g))
+def early_output(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid, pairs: DataFrame | None = None) -> DataFrame:
+    """Chains whose q and r lie in one cell: p and s only need to touch that cell. pairs: inside_pairs(), if there already."""
+    pairs = inside_pairs(q, r, g) if pairs is None else pairs
+    pairs = pairs.where("inside").withColumn("cell", home_cell(rect("q_"), g))
     p, s = (named(df, f"{x}_").withColumn("cell", F.explode(closed_cells(rect(f"{x}_"), g))) for df, x in ((p, "p"), (s, "s")))
     out = pairs.join(p, "cell").where(overlaps(rect("p_"), rect("q_")))
     return out.join(s, "cell").where(overlaps(rect("r_"), rect("s_"))).select(*IDS)
 
 
-def marked(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+def marked(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
     """The late pairs (q_id, r_id), and what must be replicated of each relation.
 
     Late pairs are those not inside one cell. Of Q and R their members are marked, of P and S what
-    overlaps a marked q or r.
+    overlaps a marked q or r. The pairs are written down if they are not there, as all that follows reads them.
     """
-    late = inside_pairs(q, r, g).where("not inside").select("q_id", "r_id")
-    mq = q.join(late.select(F.col("q_id").alias("id")), "id", "left_semi")
-    mr = r.join(late.select(F.col("r_id").alias("id")), "id", "left_semi")
+    late = (written(inside_pairs(q, r, g)) if pairs is None else pairs).where("not inside")
+    own = lambda x: late.select(F.col(f"{x}_id").alias("id"), *[F.col(f"{x}_{b}").alias(b) for b in BOUNDS]).distinct()
+    mq, mr = own("q"), own("r")
     mp = p.join(overlap_pairs(named(p, "p_"), named(mq, "q_"), "p_", "q_", g).select(F.col("p_id").alias("id")), "id", "left_semi")
     ms = s.join(overlap_pairs(named(mr, "r_"), named(s, "s_"), "r_", "s_", g).select(F.col("s_id").alias("id")), "id", "left_semi")
     tagged = [df.select(F.lit(x.upper()).alias("rel"), "id") for df, x in zip((mp, mq, mr, ms), RELATIONS)]
-    return late, tagged[0].unionAll(tagged[1]).unionAll(tagged[2]).unionAll(tagged[3]), (mp, mq, mr, ms)
+    return late.select("q_id", "r_id"), tagged[0].unionAll(tagged[1]).unionAll(tagged[2]).unionAll(tagged[3]), (mp, mq, mr, ms)
 
 
-def late_output(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid) -> DataFrame:
+def late_output(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid, pairs: DataFrame | None = None) -> DataFrame:
     """Chains of late pairs: all_replicate over what is marked."""
-    late, _, parts = marked(p, q, r, s, g)
+    late, _, parts = marked(p, q, r, s, g, pairs)
     return all_replicate(*parts, g).join(late, ["q_id", "r_id"], "left_semi").select(*IDS)
 
 
+def outputs(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid) -> tuple[DataFrame, DataFrame]:
+    """Early and late output of controlled replication; the q and r pairs are joined once for both."""
+    pairs = written(inside_pairs(q, r, g))
+    return early_output(p, q, r, s, g, pairs), late_output(p, q, r, s, g, pairs)
+
+
 def controlled_replicate(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid) -> DataFrame:
     """The chain in two rounds: early output, and late output over marked rectangles only."""
-    return early_output(p, q, r, s, g).unionAll(late_output(p, q, r, s, g))
+    early, late = outputs(p, q, r, s, g)
+    return early.unionAll(late)
 
 
 def chain_record(chains: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,11 +14,20 @@ def write_key_value(df: DataFrame, path: str, mode: str = "errorifexists") -> No
 
 def write_records(df: DataFrame, path: str, separator: str = ",", mode: str = "errorifexists") -> None:
     """All columns of each row, joined by a separator; nulls are empty."""
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    df.select(F.concat_ws(separator, *fields).alias("value")).write.mode(mode).text(path)
+    df.select(_record(df, separator).alias("value")).write.mode(mode).text(path)
 
 
-def write_named(outputs: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
-    """Several outputs, each in a folder of its name under path."""
-    for name, df in outputs.items():
-        write_records(df, f"{path}/{name}", mode=mode)
+def _record(df: DataFrame, separator: str) -> Column:
+    return F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+
+
+def write_named(outputs: dict[str, DataFrame], path: str, separator: str = ",", mode: str = "errorifexists") -> None:
+    """Several outputs in one job, each in the folder output=<name> under path.
+
+    In one plan what the outputs have in common is computed once, where Spark reuses its exchanges.
+    """
+    parts = [df.select(F.lit(name).alias("output"), _record(df, separator).alias("value")) for name, df in outputs.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionAll(part)
+    rows.write.mode(mode).partitionBy("output").text(path)

@@ -1,9 +1,11 @@
 import pytest
 from oracle import compare
 
+from tessera.plans.file_queries import FILE_ORACLES, FILE_QUERIES
 from tessera.plans.oracles import ORACLES
 from tessera.plans.queries import QUERIES
 
+QUERIES, ORACLES = QUERIES | FILE_QUERIES, ORACLES | FILE_ORACLES
 SF = "/root/testdata/sf0.001"
 
 

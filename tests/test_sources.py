@@ -46,4 +46,4 @@ def test_key_value_round_trip_and_existing_folder(spark, tmp_path):
     writers.write_records(df, out, mode="overwrite")
     assert sorted(r["value"] for r in readers.read_lines(spark, out).collect()) == ["a,1", "b,2"]
     writers.write_named({"early": df, "late": df}, f"file://{tmp_path}/named")
-    assert readers.read_lines(spark, f"file://{tmp_path}/named/*").count() == 4
+    assert readers.read_lines(spark, f"file://{tmp_path}/named/output=*").count() == 4
