@@ -286,9 +286,11 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = 50, anchor: i
     sketched, spans = repeated(docs, text, window, anchor, block_words, shard_words)
     long = sketched.where(F.col("n_words") >= window)
     # What is not kept whole: representatives with spans, and copies, which are removed whole.
-    least = long.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).join(spans, "node", "left").where("copies > 1 or spans is not null")
+    # Written down, so that the join with a text of many copies can be split.
+    least = stash(long.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).join(spans, "node", "left").where("copies > 1 or spans is not null"))
     decided = sketched.select("doc_id", "node", "n_words").join(least, "node").where("spans is not null or doc_id > low")
     decided = stash(decided.select("doc_id", "node", F.when(F.col("doc_id") == F.col("low"), F.col("spans")).alias("spans")).distinct())
+    discard(sketched, spans, least)
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id_"), F.col(text).alias("text"))
     by_id = decided.groupBy(F.col("doc_id").alias("id_")).agg(F.collect_list(F.struct("node", "spans")).alias("cases"))
     return keep(own.join(by_id, "id_", "left").select("doc_id", "text", "cases"), window)
