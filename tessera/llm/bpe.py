@@ -5,8 +5,9 @@ character, scored by the negative rank. Normalisation is the identity, so a pre-
 mapped characters goes through sentencepiece's merges in rank order, which is what a
 byte-level BPE encoder does. Decoding looks pieces up by id and maps characters back to bytes.
 
-Defined cases: null text gives no ids and empty bytes; empty text likewise; extra columns are
-passed on; columns named token_ids or decoded are replaced. Long pre-tokens are encoded whole.
+Defined cases: null text gives no ids and empty bytes; empty text likewise; an empty table gives no rows;
+repeated rows get equal ids; extra columns are passed on; columns named token_ids or decoded are
+replaced. Texts and pre-tokens are encoded whole, whatever their length. Of merges of equal rank there are none.
 """
 
 from __future__ import annotations

@@ -112,6 +112,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def project(x: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The right singular vectors of the largest values of x, and the Gram matrix that has them as eigenvectors."""
+    gram = (x.T @ x).astype(np.float64)
+    _, vector = np.linalg.eigh(gram)
+    return np.ascontiguousarray(vector[:, ::-1][:, :rank], np.float32), gram
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", max_train: int = 4096, rank: int = 64) -> Voters:
     """Fit on at most max_train of the labelled rows for which learn holds, in the order of a hash of doc_id."""
     rows = vectors(labelled(docs, labels, label, learn, max_train)).select("h", "doc_id", "y", "counts").collect()
@@ -120,8 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
         return Voters(np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
     x = np.frombuffer(b"".join(r["counts"] for r in rows), np.float32).reshape(len(rows), WIDTH)
     y = np.array([r["y"] for r in rows], np.float32)
-    _, vector = np.linalg.eigh((x.T @ x).astype(np.float64))
-    projection = np.ascontiguousarray(vector[:, ::-1][:, :rank], np.float32)
+    projection, _ = project(x, rank)
     return Voters(projection, unit(x @ projection), y)
 
 

@@ -119,6 +119,68 @@ def test_automaton_equals_edit_distance(bounds):
             assert weight == max(lexicon[e] for e in found if found[e] == n), w
 
 
+def brute_lexicon(documents, max_entries, least, least_odds, cover):
+    """The greedy choice, counted afresh at each step."""
+    entries = lambda w: [w[:n] for n in range(4, 11) if n <= len(w)] + ([w + "$"] if len(w) > 2 else [])
+    uses = [({p: min(8, sum(k for w, k in words.items() if p in entries(w))) for p in {p for w in words for p in entries(w)}}, y) for words, y in documents]
+    n = [sum(y == c for _, y in documents) for c in (0, 1)]
+    total = lambda p, c: sum(u.get(p, 0) for u, y in uses if y == c)
+    open_ = {}
+    for p in {p for u, y in uses if y for p in u}:
+        odds = ((total(p, 1) + 0.5) / n[1]) / ((total(p, 0) + 0.5) / max(1, n[0]))
+        held = [i for i, (u, y) in enumerate(uses) if y and p in u]
+        if total(p, 1) >= least and odds >= least_odds and len(held) >= least:
+            open_[p] = (odds, held)
+    covered, lexicon = [0] * len(uses), {}
+    while open_ and len(lexicon) < max_entries:
+        worth = {p: sum(covered[i] < cover for i in held) for p, (_, held) in open_.items()}
+        best = max(open_, key=lambda p: (worth[p] * (1 - 2 / (2 + open_[p][0])), len(p), p))
+        odds, held = open_.pop(best)
+        if worth[best] < least:
+            break
+        a = best.rstrip("$")
+        if any(t.rstrip("$").startswith(a) or a.startswith(t.rstrip("$")) for t in lexicon):
+            continue
+        lexicon[best] = toxicity.math.log(odds)
+        for i in held:
+            covered[i] += 1
+    return lexicon
+
+
+def test_lexicon_equals_brute_force():
+    rng = random.Random(13)
+    rude = ["idiot", "idiots", "moron", "scumbag", "scumbags", "stinker", "bah"]
+    for round_ in range(6):
+        documents = []
+        for i in range(60):
+            words = [rng.choice(["good", "morning", "stint", "people", "moral", "walking"]) for _ in range(20)]
+            words += [rng.choice(rude) for _ in range(rng.randrange(12) if i % 3 == 0 else rng.random() < 0.1)]
+            documents.append((toxicity.Counter(words), int(i % 3 == 0)))
+        got = toxicity.learn_lexicon(documents, 10, 2, 3.0, 2)
+        assert got == pytest.approx(brute_lexicon(documents, 10, 2, 3.0, 2)) and (round_ or got)
+
+
+def test_score_equals_brute_force(spark, disagreeing):
+    docs, labels = disagreeing
+    model = toxicity.train(docs, labels, F.lit(True))
+    matches = toxicity.Matches(toxicity.Automaton(model.lexicon))
+    for r in toxicity.score(docs.where("doc_id < 30"), model).collect():
+        x = toxicity.features(r["text"], matches, model.window)
+        z = sum(float(a) * float(b) for a, b in zip(x, model.weights)) + float(model.weights[-1])
+        assert r["score"] == pytest.approx(1 / (1 + toxicity.math.exp(-z)), abs=1e-9)
+
+
+def test_projection_keeps_the_largest_singular_values():
+    np = quality_knn.np
+    rng = random.Random(4)
+    columns = quality_knn.Columns()
+    x = np.stack([quality_knn.counts(" ".join(rng.choice(["a", "Bc", "12", "d-e", "word", "LOUD", "x!"]) for _ in range(40)), columns) for _ in range(50)])
+    projection, gram = quality_knn.project(x, 5)
+    values = np.linalg.svd(x.astype(float), compute_uv=False)
+    assert np.linalg.norm(x @ projection) ** 2 == pytest.approx(float((values[:5] ** 2).sum()), rel=1e-4)
+    assert np.allclose(projection.T @ projection, np.eye(5), atol=1e-4) and gram.shape == (quality_knn.WIDTH,) * 2
+
+
 def test_signs_between_letters():
     matches = toxicity.Matches(toxicity.Automaton({"idiot$": 3.0}))
     assert matches["id!ot"] == (3.0, 1) and matches["i.d-i_o*t!"] == (3.0, 1) and matches["idiot!"] == (3.0, 0) and matches["it's"] is None

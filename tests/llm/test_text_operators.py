@@ -351,6 +351,23 @@ def test_loser_tree_merges_runs_in_order():
 
 # op10
 
+def test_bpe_of_repeated_rows_and_a_very_long_text(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(path))}, special_tokens={})
+    rng = random.Random(1)
+    long = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, long), (3, "x" * 20_000)], "doc_id long, text string")
+    got = bpe.round_trip(docs, path).collect()
+    assert len(long) > 10**6 and sorted(len(r["token_ids"]) for r in got)[:3] == [2, 2, 2]
+    for r in got:
+        want = {2: long, 3: "x" * 20_000}.get(r["doc_id"], "a b")
+        assert r["token_ids"] == library.encode_ordinary(want) and bytes(r["decoded"]).decode() == want
+    assert bpe.round_trip(docs.where("false"), path).count() == 0
+
+
 HARD = ["", "日本語テキスト", "😀😀 a\u0000b\r\n\t  x", "a" * 2000, "▁x ▁▁ <unk> <s>", "é́" * 30, " \xa0 ", "12345" * 40, "it's we'll  \n\n end "]
 
 
