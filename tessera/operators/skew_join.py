@@ -69,12 +69,11 @@ def residuals(r: DataFrame, s: DataFrame, t: DataFrame, heavy_b: list, heavy_c:
     return {name: Residual(r.where(b[x]), s.where(b[x] & c[y]), t.where(c[y])) for name, (x, y) in cases.items()}
 
 
-def sizes(r: DataFrame, s: DataFrame, t: DataFrame, heavy_b: list, heavy_c: list) -> dict[str, tuple[int, int, int]]:
-    """Rows of R, S and T in each residual, 1 at least: one pass over each relation."""
+def counts(r: DataFrame, s: DataFrame, t: DataFrame, heavy_b: list, heavy_c: list) -> dict[str, tuple[int, int, int]]:
+    """Rows of R, S and T in each residual: one pass over each relation."""
 
     def count(df: DataFrame, **conditions: Column) -> dict[str, int]:
-        row = df.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in conditions.items()]).first()
-        return {k: max(1, row[k]) for k in conditions}
+        return df.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in conditions.items()]).first().asDict()
 
     hb, lb, hc, lc = is_heavy("B", heavy_b), is_light("B", heavy_b), is_heavy("C", heavy_c), is_light("C", heavy_c)
     nr, nt = count(r, h=hb, l=lb), count(t, h=hc, l=lc)
@@ -82,6 +81,11 @@ def sizes(r: DataFrame, s: DataFrame, t: DataFrame, heavy_b: list, heavy_c: list
     return {"light": (nr["l"], ns["light"], nt["l"]), "hb": (nr["h"], ns["hb"], nt["l"]), "hc": (nr["l"], ns["hc"], nt["h"]), "hbhc": (nr["h"], ns["hbhc"], nt["h"])}
 
 
+def sizes(r: DataFrame, s: DataFrame, t: DataFrame, heavy_b: list, heavy_c: list) -> dict[str, tuple[int, int, int]]:
+    """counts(), 1 at least, as the share formulas need them."""
+    return {name: tuple(max(1, n) for n in own) for name, own in counts(r, s, t, heavy_b, heavy_c).items()}
+
+
 def shares_heavy_b(r: int, s: int, t: int, k: int) -> dict[str, int]:
     """Shares of A and C whose product is about k and that replicate least: a = sqrt(rk / (s + t))."""
     a = max(1, round(math.sqrt(r * k / (s + t))))
@@ -109,10 +113,16 @@ def deal(df: DataFrame, shares: dict[str, int]) -> DataFrame:
 
 
 def shares_join(part: Residual, shares: dict[str, int]) -> DataFrame:
-    """The chain over one residual, dealt by shares: buckets and keys must agree."""
+    """The chain over one residual, dealt by shares: buckets and keys must agree.
+
+    The buckets keep tasks of their own: small inputs of a large result would else be gathered in one task.
+    """
     cube = [f"bucket_{x}" for x in shares]
+    tasks = math.prod(shares.values())
     r, s, t = (deal(df, shares) for df in (part.r, part.s, part.t))
-    return r.join(s, [*cube, "B"]).join(t, [*cube, "C"]).select(*OUT)
+    by_b, by_c = [*cube, "B"], [*cube, "C"]
+    rs = r.repartition(tasks, *by_b).join(s.repartition(tasks, *by_b), by_b)
+    return rs.repartition(tasks, *by_c).join(t.repartition(tasks, *by_c), by_c).select(*OUT)
 
 
 def residual_join(name: str, part: Residual, size: tuple[int, int, int], k: int) -> DataFrame:
@@ -124,8 +134,13 @@ def residual_join(name: str, part: Residual, size: tuple[int, int, int], k: int)
 
 
 def skew_join(r: DataFrame, s: DataFrame, t: DataFrame, heavy_b: list, heavy_c: list, k: int = 100) -> DataFrame:
-    """A, B, E, C, D: the union of the four residual joins, equal to chain_join."""
-    size = sizes(r, s, t, heavy_b, heavy_c)
+    """A, B, E, C, D: the union of the residual joins, equal to chain_join; those with an empty side are left out."""
+    size = counts(r, s, t, heavy_b, heavy_c)
     parts = residuals(r, s, t, heavy_b, heavy_c)
-    out = [residual_join(name, part, size[name], k) for name, part in parts.items()]
-    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+    own = [residual_join(name, part, size[name], k) for name, part in parts.items() if min(size[name])]
+    if not own:
+        return chain_join(*vars(parts["light"]).values())
+    out = own[0]
+    for more in own[1:]:
+        out = out.unionAll(more)
+    return out
