@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import map_columns, table
 
 #: Pre-tokens kept with their ids in each task, and the longest of them in characters.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 NORMAL, UNKNOWN, BPE = 1, 2, 2
 
 

@@ -100,7 +100,7 @@ def fresh(df: DataFrame, name: str) -> str:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; kept for at most `most` words at a time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -125,6 +125,10 @@ def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+#: Bytes of a batch that map_columns hands over at a time, or one row.
+PART_BYTES = 4 << 20
+
+
 def map_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
@@ -143,8 +147,12 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + work(batch), names=names)
+        for whole in batches:
+            # In parts of some MB, so that what a batch becomes in Python stays small beside it.
+            rows = max(1, whole.num_rows * PART_BYTES // max(PART_BYTES, whole.nbytes))
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + work(batch), names=names)
 
     return df.mapInArrow(run, schema)
 
