@@ -159,7 +159,7 @@ def over_rectangles(f: Callable[[tuple[DataFrame, ...], Grid], DataFrame]) -> Ca
 
 
 def _coarse(grid: Grid) -> Grid:
-    """For replication: the last cell gets every row whatever the grid, so more cells only make more copies."""
+    """For replication: the last cell gets every row whatever the grid, so more cells only make more copies. Tiles join what meets in one."""
     return Grid(4, 4, grid.width, grid.height)
 
 
