@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, langid, minhash, surrogates
-from tessera.llm.common import discard, remainder, stash, table
+from tessera.llm.common import discard, passing, remainder, stash, table
 
 #: Language ID rejects texts without letters, and those whose score is less than this share of the way from 1 / C,
 #: the least that the best of C languages can have (the margins add up to 2 - C), to 1. Gibberish and other
@@ -58,12 +58,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = stash(verdicts)
     discard(grouped)
     df, back = aside(docs, "doc_id", "text")
-    marked = df.withColumn("mark", F.md5("text"))
-    joined = marked.join(verdicts, F.col("doc_id").eqNullSafe(F.col("own id")) & (F.col("mark") == F.col("own mark")), "left")
-    out = back(joined.where(F.col("stays").isNull() | (F.col("stays") & (F.col("copies") == 1))))
-    if verdicts.where("stays and copies > 1").isEmpty():
+    key = lambda doc_id, mark: F.xxhash64(F.col(doc_id).cast("long"), mark).alias("key")
+    marked = df.withColumn("mark", F.md5("text")).withColumn("key", key("doc_id", "mark"))
+    # Only what may be dropped is shuffled with its text.
+    dropped = verdicts.where("not stays or copies > 1")
+    keys = dropped.select(key("own id", "own mark"))
+    joined = passing(marked, "key", keys).join(dropped, F.col("doc_id").eqNullSafe(F.col("own id")) & (F.col("mark") == F.col("own mark")), "left")
+    out = back(passing(marked, "key", keys, others=True)).unionAll(back(joined.where(F.col("stays").isNull())))
+    if dropped.where("stays").isEmpty():
         return out
-    alike = joined.where("stays and copies > 1").groupBy("own id", "own mark").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+    alike = joined.where("stays").groupBy("own id", "own mark").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
     return out.unionAll(back(alike.select("row.*")))
 
 

@@ -118,3 +118,31 @@ def test_near_dedup_by_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(str((r["doc_id"], r["text"])) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
     assert kept == sorted(map(str, [(5, a), (3, b), (9, None), (9, None), (10, ""), (None, "alone here"), (None, "and this too"), (11, "x y z")]))
+
+
+def shuffled_bytes(spark):
+    """What all stages of the session have written to shuffles."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = store.stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Pipeline: where verdicts are too many to broadcast, near_dedup shuffles the texts that may be dropped only."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1000)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(300, texts[0]), (301, texts[1]), (1, texts[1]), (None, texts[2]), (400, None), (401, "")]
+    docs = stash(spark.createDataFrame(rows, "doc_id long, text string"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = corpus_pipeline.near_dedup(spark, docs, SF)
+        before = shuffled_bytes(spark)
+        kept = stash(found)
+        assert shuffled_bytes(spark) - before < 1_000_000 < sum(map(len, texts)) / 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([*enumerate(texts), (400, None), (401, "")])
