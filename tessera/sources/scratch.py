@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for removing a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; with a local master and no setting, a folder of this machine for the session."""
@@ -25,13 +28,32 @@ def new_path(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared folder from then on."""
+    """df, computed once and read from the shared folder from then on.
+
+    What was shuffled for it is removed as soon as it is written, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that written() gave and that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def name_parts(spark: SparkSession, folder: str, prefix: str) -> None:
     """Put a prefix before the names of a folder's part files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
