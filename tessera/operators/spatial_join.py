@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.spatial import BOUNDS, Grid, closed_cells, crosses, first_col, first_row, home_cell, overlaps, quadrant_cells, rect, split_cells
@@ -114,16 +114,33 @@ def early_output(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid
     return overlap_pairs(out, s, "r_", "s_", tiles, ("cell",)).select(*IDS)
 
 
+def at_border(df: DataFrame, g: Grid, wide: float, high: float) -> DataFrame:
+    """Rectangles that do not lie within one cell when they are extended by wide and high on both sides; no shuffle."""
+
+    def within(a: str, b: str, more: float, size: float, count: int) -> Column:
+        more += size / 1e6  # for rounding
+        low, up = F.least(a, b) - F.lit(more), F.greatest(a, b) + F.lit(more)
+        slot = F.floor(low / size).cast("double")
+        return (slot >= 0) & (slot < count) & (up < (slot + 1) * size)
+
+    return df.where(~(within("xl", "xr", wide, g.cell_width, g.cols) & within("yb", "yt", high, g.cell_height, g.rows)))
+
+
 def marked(p: DataFrame, q: DataFrame, r: DataFrame, s: DataFrame, g: Grid, pairs: DataFrame | None = None, tiles: Grid | None = None) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
     """The late pairs (q_id, r_id), and what must be replicated of each relation.
 
     Late pairs are those not inside one cell. Of Q and R their members are marked, of P and S what
-    overlaps a marked q or r. The pairs are written down if they are not there, as all that follows reads them.
+    overlaps a marked q or r. A late pair leaves its cell, so a p or s that is further from the border than
+    the pairs are long is left out before anything is shuffled. The pairs are written down if they are not there,
+    as all that follows reads them.
     """
     tiles = tiling(g, p, q, r, s) if tiles is None else tiles
     late = (written(inside_pairs(q, r, g, tiles)) if pairs is None else pairs).where("not inside")
     own = lambda x: late.select(F.col(f"{x}_id").alias("id"), *[F.col(f"{x}_{b}").alias(b) for b in BOUNDS]).distinct()
     mq, mr = own("q"), own("r")
+    length = lambda a, b: F.coalesce(F.max(sum(F.abs(F.col(f"{x}_{b}") - F.col(f"{x}_{a}")) for x in "qr")), F.lit(0.0))
+    wide, high = late.agg(length("xl", "xr"), length("yb", "yt")).first()
+    p, s = (at_border(df, g, wide, high) for df in (p, s))
     mp = p.join(overlap_pairs(named(p, "p_"), named(mq, "q_"), "p_", "q_", tiles).select(F.col("p_id").alias("id")), "id", "left_semi")
     ms = s.join(overlap_pairs(named(mr, "r_"), named(s, "s_"), "r_", "s_", tiles).select(F.col("s_id").alias("id")), "id", "left_semi")
     tagged = [df.select(F.lit(x.upper()).alias("rel"), "id") for df, x in zip((mp, mq, mr, ms), RELATIONS)]
