@@ -225,6 +225,26 @@ def test_quality_rules_equal_brute_force(spark):
             assert r["word_distance"] == pytest.approx(best, abs=1e-9)
 
 
+def test_repeated_windows_equal_brute_force(spark):
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(["aa", "b", "C"][:k] + [f"w{i}" for i in range(v)]) for _ in range(n)) for n in (2, 3, 4, 40, 700, 30_000) for k, v in ((1, 0), (2, 0), (3, 3), (3, 40), (0, 4000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.judge(docs, quality_rules.References([], [], [])).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = list(zip(w, w[1:], w[2:]))
+        c = Counter(windows)
+        assert got[i] == len({j + k for j, x in enumerate(windows) if c[x] > 1 for k in range(3)}), (i, len(w))
+
+
+def test_texts_and_words_are_not_carried_to_the_sort(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c", "en")], "doc_id long, text string, lang string")
+    plan = quality_rules.judge(docs, quality_rules.references(docs, least_documents=1))._jdf.queryExecution().optimizedPlan().toString()
+    steps = [x for x in plan.splitlines() if " AS sorted_#" in x]
+    assert steps and not any(re.search(r"\b(text|words_)#", x) for x in steps)
+    assert "translate(" not in plan
+
+
 def js(p, q):
     half = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b) if x > 0)
     return (half(p, q) + half(q, p)) / 2
